@@ -27,14 +27,15 @@ def words_of(text: Column) -> Column:
 
 
 def shingles_of(text: Column) -> Column:
-    """Hashes of all runs of WORDS words: of each word's hash, then of the hashes of five neighbours."""
-    return F.expr("case when size(__h) < %d then cast(array() as array<bigint>) else transform(sequence(0, size(__h) - %d), i -> xxhash64(%s)) end" % (WORDS, WORDS, ", ".join(f"__h[i + {k}]" for k in range(WORDS))))
+    """The distinct hashes of all runs of WORDS words: of each word's hash, then of five neighbours' hashes.
 
-
-def with_shingles(rows: DataFrame, text: str) -> DataFrame:
-    """``rows`` with ``__s``, the distinct shingle hashes of ``text``."""
-    hashed = rows.withColumn("__h", F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w)))
-    return hashed.withColumn("__s", F.array_distinct(shingles_of(F.col("__h")))).drop("__h")
+    The words' hashes are bound to a lambda variable, so that they are computed once for a text wherever the optimizer
+    moves the expression; a plain alias could be inlined into each of the places that read it.
+    """
+    hashed = F.transform(words_of(text), lambda w: F.xxhash64(w))
+    runs = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WORDS), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WORDS)]))
+    none = F.array().cast("array<bigint>")
+    return F.get(F.transform(F.array(hashed), lambda h: F.when(F.size(h) < WORDS, none).otherwise(F.array_distinct(runs(h)))), F.lit(0))
 
 
 def sketch_sizes(threshold: float) -> Column:
@@ -53,14 +54,14 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """
     scratch = Scratch(docs.sparkSession)
     distinct = items.select(F.col(item).alias("item_id"), F.col(text).alias("__t")).where(F.col(item).isNotNull()).distinct()
-    sets = with_shingles(distinct, "__t").where(F.size("__s") > 0).select("item_id", F.xxhash64("__t").alias("version"), F.array_sort("__s").alias("s"), F.size("__s").alias("q"))
-    sets = scratch.keep(sets.withColumn("sketch", F.slice("s", F.lit(1), sketch_sizes(threshold))))
+    sets = scratch.keep(distinct.select("item_id", F.xxhash64("__t").alias("version"), F.array_sort(shingles_of(F.col("__t"))).alias("s")))
+    sets = sets.where(F.size("s") > 0).withColumn("q", F.size("s")).withColumn("sketch", F.slice("s", F.lit(1), sketch_sizes(threshold)))
     sketch = sets.select(F.explode("sketch").alias("h")).distinct()
     parts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("__t")).where(F.col(key).isNotNull())
-    texts = with_shingles(parts, "__t").select("doc_id", F.explode("__s").alias("h"))
+    texts = parts.select("doc_id", F.explode_outer(shingles_of(F.col("__t"))).alias("h"))
     candidates = scratch.keep(texts.join(sized(sketch, BROADCAST_SHINGLES), "h", "left_semi").select("doc_id").distinct())
     again = parts.join(sized(candidates), "doc_id", "left_semi")
-    held = with_shingles(again, "__t").select("doc_id", F.explode("__s").alias("h")).distinct()
+    held = again.select("doc_id", F.explode_outer(shingles_of(F.col("__t"))).alias("h")).distinct()
     inverted = sets.select("item_id", "version", "q", F.explode("s").alias("h"), F.col("sketch").alias("k")).select("item_id", "version", "q", "h", F.array_contains("k", F.col("h")).alias("sketched"))
     shared = held.join(sized(inverted, BROADCAST_SHINGLES), "h").groupBy("doc_id", "item_id", "version", "q").agg(F.count("*").alias("n"), F.max("sketched").alias("found"))
     close = shared.where(F.col("found") & (F.col("n") >= F.ceil(F.lit(threshold) * F.col("q") - 1e-9)))
