@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, langid, line_dedup, toxicity, url_filters
+from . import bpe, chat, decontamination, embedding_dedup, langid, line_dedup, minhash, toxicity, url_filters
 from .common import fold, table
 
 #: (verdict, host, path)
@@ -62,6 +62,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
@@ -72,6 +76,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_toxicity": op2_toxicity,
@@ -79,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_language_id": op6_language_id,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_bpe": op8_bpe,
+    "op9_embedding_dedup": op9_embedding_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op3_line_dedup": line_dedup.sql(), "op4_decontamination": decontamination.sql()}
