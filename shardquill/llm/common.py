@@ -110,3 +110,13 @@ def without(docs: DataFrame, flagged: DataFrame, key: str = "doc_id") -> DataFra
 def fold(column, folds: int):
     """The remainder that splits rows into learning and held-out ones: crc32 of the id as text."""
     return F.crc32(column.cast("string").cast("binary")) % folds
+
+
+def one_per_id(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text) with one row for each id that is not null: of an id's texts the smallest that is not null."""
+    rows = docs.select(key, text).where(F.col(key).isNotNull())
+    repeated = scratch.keep(rows.groupBy(key).count().where("count > 1").select(key))
+    if repeated.isEmpty():
+        return rows
+    again = rows.join(sized(repeated), key, "left_semi").groupBy(key).agg(F.min(text).alias(text))
+    return without(rows, repeated, key).unionByName(again)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, embedding_dedup, langid, line_dedup, minhash, toxicity, url_filters
+from . import bpe, chat, decontamination, embedding_dedup, langid, line_dedup, minhash, substring_dedup, toxicity, url_filters
 from .common import fold, table
 
 #: (verdict, host, path)
@@ -80,6 +80,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_toxicity": op2_toxicity,
@@ -90,5 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_bpe": op8_bpe,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op3_line_dedup": line_dedup.sql(), "op4_decontamination": decontamination.sql()}
