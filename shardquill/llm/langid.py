@@ -7,7 +7,6 @@ score for a language is the sum over all its words.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -38,36 +37,35 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """tables[0]: words, tables[n]: n-grams; each maps a string to its log frequency in each language."""
+    """For words (0) and n-grams of each length: the row of a string in a matrix of log frequencies by language."""
 
     def __init__(self, rows: list[tuple[str, int, str, int]]):
         self.langs = sorted({r[0] for r in rows})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        totals = np.ones((LONGEST + 1, len(self.langs)))
-        for lang, n, _, count in rows:
-            totals[n, at[lang]] += count
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        floors = np.log(0.1 / totals)
-        for lang, n, item, count in rows:
-            table = self.tables[n]
-            if item not in table:
-                table[item] = floors[n].copy()
-            table[item][at[lang]] = math.log(count / totals[n, at[lang]])
+        self.rows: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        for _, n, item, _ in rows:
+            self.rows[n].setdefault(item, len(self.rows[n]))
+        self.logs = []
+        for n, index in enumerate(self.rows):
+            counts = np.zeros((len(index), len(self.langs)), dtype=np.float32)
+            for lang, length, item, count in rows:
+                if length == n:
+                    counts[index[item], at[lang]] = count
+            self.logs.append(np.log(np.maximum(counts, 0.1) / (1 + counts.sum(axis=0, dtype=np.float64))).astype(np.float32))
 
     def word(self, word: str) -> np.ndarray:
-        if (known := self.tables[0].get(word)) is not None:
-            return known
+        if (known := self.rows[0].get(word)) is not None:
+            return self.logs[0][known]
         for n in range(LONGEST, 0, -1):
-            found = [v for g in grams_of(word, n) if (v := self.tables[n].get(g)) is not None]
-            if found:
-                return np.mean(found, axis=0)
+            if found := [i for g in grams_of(word, n) if (i := self.rows[n].get(g)) is not None]:
+                return self.logs[n][found].mean(axis=0)
         return np.zeros(len(self.langs))
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.cache = model, {}
-        self.rows = np.zeros((1024, len(model.langs)))
+        self.rows = np.zeros((1024, len(model.langs)), dtype=np.float32)
 
     def index(self, word: str) -> int:
         i = self.cache.get(word)
@@ -84,10 +82,10 @@ class Scorer:
         if not self.model.langs or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
         if len(self.cache) > CACHE:
-            self.cache, self.rows = {}, np.zeros((1024, len(self.model.langs)))
+            self.cache, self.rows = {}, np.zeros((1024, len(self.model.langs)), dtype=np.float32)
         get = self.cache.get
         at = [i if (i := get(w)) is not None else self.index(w) for w in words]
-        total = self.rows[at].sum(axis=0)
+        total = self.rows[at].sum(axis=0, dtype=np.float64)
         best = int(total.argmax())
         return self.model.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
 
