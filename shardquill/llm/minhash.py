@@ -7,9 +7,11 @@ rank, so two documents agree in a coordinate with the probability of their weigh
 in order of rank until every coordinate has a dart, about K ln K darts a document however many shingles it has.
 
 Coordinates are joined in BANDS bands of ROWS. Documents with equal shingle sets are one class and take part once. The
-members of a bucket are compared with its smallest member (the pivot), never all with all. Members that are not close
-to the pivot form the bucket of the next round, together with those close members that the triangle inequality of the
-Jaccard distance does not rule out; so every link of a bucket that may join two components is found, exactly.
+members of a bucket are compared with its smallest member (the pivot), not all with all. Then components are formed, and
+buckets whose members are in one component are done. In the others, members of all components but the largest become
+pivots in turn, more in each round, and are compared with the bucket's members in other components, except pairs that
+their sizes or the triangle inequality of the Jaccard distance rule out. A pivot leaves its bucket. So every pair of a
+bucket is either compared, or ruled out, or already in one component: no link that joins components is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_texts, sized, without
@@ -32,7 +34,9 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 28, 5
 K = BANDS * ROWS
 #: The first rank cell is [0, FIRST), each next one doubles the bound.
-FIRST = 2.0**-8
+FIRST = 2.0**-3
+#: Pivots of a component of a bucket in the second round; each next round has so many times more.
+PIVOTS = 4
 CACHE = 200_000
 
 _WORD = re.compile(r"\w+")
@@ -109,7 +113,8 @@ def sketch(keys: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, k:
             darts.append((owner[element] * k + coordinate, rank, dart))
             cell, left, right = cell + 1, right, right * 2
         slot, rank, dart = (np.concatenate([d[i] for d in darts]) for i in range(3))
-        order = np.lexsort((dart, rank, slot))
+        bits = max(1, 63 - int(n * k).bit_length())
+        order = np.argsort(slot.astype(np.uint64) << np.uint64(bits) | (rank * 2.0**bits).astype(np.uint64), kind="stable")
         slot, dart = slot[order], dart[order]
         first = np.ones(len(slot), dtype=bool)
         first[1:] = slot[1:] != slot[:-1]
@@ -208,33 +213,54 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighting: st
     # an id with several texts is compared by each of them
     sets = scratch.keep(shingle_sets(wanted, weighting).distinct())
     links = [sigs.where("n > 0").join(classes, ["fa", "fb"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))]
+    # round 1: all members with their bucket's pivot
+    compared = _compared(members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), sets, scratch)
+    links.append(scratch.keep(compared.where(F.col("j") >= threshold).select("a", "b")))
+    near = members.join(compared.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "j"), ["rep", "pivot"])
+    size = sets.groupBy(F.col("doc_id").alias("rep")).agg(F.min(F.size("s")).alias("lo"), F.max(F.size("s")).alias("hi"), (F.count("*") > 1).alias("many"))
+    left = scratch.keep(near.select("bucket", "rep", "j").join(size, "rep"))
+    each = PIVOTS
     while True:
-        pairs = members.where("rep <> pivot").select("rep", "pivot").distinct()
-        left = pairs.join(sets.select(F.col("doc_id").alias("pivot"), F.col("s").alias("t")), "pivot")
-        both = left.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-        common = F.size(F.array_intersect("s", "t"))
-        compared = both.select("rep", "pivot", F.size("s").alias("p"), F.size("t").alias("q"), common.alias("c")).select("rep", "pivot", (F.col("c") / (F.col("p") + F.col("q") - F.col("c"))).alias("j"))
-        compared = scratch.keep(compared.groupBy("rep", "pivot").agg(F.max("j").alias("j")))
-        links.append(compared.where(F.col("j") >= threshold).select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-        judged = members.join(compared, ["rep", "pivot"]).select("bucket", "rep", "j")
-        far = judged.where(F.col("j") < threshold).groupBy("bucket").agg(F.max("j").alias("nearest"), F.min("rep").alias("pivot"), F.count("*").alias("x"))
-        # a close member y can be linked to a far member x only if d(y, pivot) >= d(x, pivot) - (1 - threshold)
-        rest = judged.join(far, "bucket").where((F.col("j") < threshold) | (F.col("j") <= F.col("nearest") + (1 - threshold) + 1e-9))
-        more = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        after = scratch.keep(rest.join(more, "bucket", "left_semi").select("bucket", "rep", "pivot"))
-        scratch.drop(members)
-        members = after
-        if members.isEmpty():
+        found = scratch.keep(components(_all(links[1:]), scratch))
+        placed = left.join(found, F.col("rep") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rep")).drop("id")
+        groups = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+        largest = groups.groupBy("bucket").agg(F.count("*").alias("groups"), F.max(F.struct("k", "component")).alias("most")).where("groups > 1").select("bucket", F.col("most.component").alias("largest"))
+        open_ = scratch.keep(placed.join(largest, "bucket"))
+        if open_.isEmpty():
             break
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
-    found = components(every, scratch)
+        turn = F.row_number().over(Window.partitionBy("bucket", "component").orderBy("rep"))
+        pivots = open_.where("component <> largest").withColumn("turn", turn).where(F.col("turn") <= each).drop("turn", "largest")
+        pivots = scratch.keep(pivots)
+        x, y = pivots.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("rep", "j", "lo", "hi", "many", "component")]), open_
+        pairs = x.join(y, "bucket").where("component <> x_component")
+        # an id with several texts has no one distance to the pivot
+        pairs = pairs.where((F.col("many") | F.col("x_many") | (F.abs(F.col("j") - F.col("x_j")) <= 1 - threshold + 1e-9)) & (F.col("hi") >= threshold * F.col("x_lo")) & (F.col("x_hi") >= threshold * F.col("lo")))
+        pairs = pairs.select(F.greatest("rep", "x_rep").alias("a"), F.least("rep", "x_rep").alias("b")).distinct()
+        compared = _compared(pairs, sets, scratch)
+        links.append(scratch.keep(compared.where(F.col("j") >= threshold).select("a", "b")))
+        left = scratch.keep(open_.join(pivots.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "j", "lo", "hi", "many"))
+        each *= PIVOTS
+    found = components(_all([links[0], found.select(F.col("id").alias("a"), F.col("component").alias("b"))]), scratch)
     ids = sigs.select("doc_id").distinct()
     class_id = F.coalesce("component", "doc_id")
     return ids.join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", class_id.alias("class_id"), (class_id == F.col("doc_id")).alias("kept"))
 
 
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, j): the Jaccard similarity of each pair of documents, the largest if they have several sets."""
+    left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("t")), "b")
+    both = left.join(sets.select(F.col("doc_id").alias("a"), "s"), "a")
+    counted = both.select("a", "b", F.size("s").alias("p"), F.size("t").alias("q"), F.size(F.array_intersect("s", "t")).alias("c"))
+    return scratch.keep(counted.groupBy("a", "b").agg(F.max(F.col("c") / (F.col("p") + F.col("q") - F.col("c"))).alias("j")))
+
+
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, weighting: str = "set", key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one document, that with the smallest id, of each class of near duplicates.
 

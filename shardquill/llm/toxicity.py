@@ -26,6 +26,7 @@ from .common import map_texts
 SAMPLE, GRAMS, WEIGHTS = 10_000, 150_000, 20_000
 #: A feature needs this many toxic rows, and this log odds, to count.
 LEAST_ROWS, LEAST_ODDS = 4, 3.0
+PREFIXES = (4, 5, 6, 7, 8)
 ORDER = 4
 #: Words kept in a worker's cache, readings kept at each step of the lattice.
 CACHE, BEAM = 200_000, 48
@@ -41,7 +42,8 @@ LEET, REPEAT, MARK, DIGIT, JOIN, GAP = 0.7, 0.4, 0.3, 2.5, 0.3, 1.0
 _EDGE = re.compile(r"^[^\w@$!|+(€£¡¢¥§]+|[^\w@$|+€£¢¥§]+$|([^\w])\1{2,}$|^([^\w])\2{2,}|_+$|^_+")
 _TRIPLE = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
-_HIDDEN = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
+_HIDDEN = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")
+_MARKS = ".,;:!?\"'()[]{}*"
 
 
 class CharModel:
@@ -71,7 +73,7 @@ class CharModel:
                 cost += 12.0
                 break
             ctx, cost = ctx[1:], cost + 0.9
-        if len(self.known) > 500_000:
+        if len(self.known) > CACHE:
             self.known.clear()
         self.known[context, char] = cost
         return cost
@@ -132,8 +134,10 @@ class Restorer:
             return known
         if len(self.cache) > CACHE:
             self.cache.clear()
-        bare, last = token, None
-        while bare != last:
+        bare, last = token.strip(_MARKS), None
+        if not bare.isalpha():
+            bare = token
+        while bare != last and not bare.isalpha():
             bare, last = _EDGE.sub("", bare), bare
         if bare.isalpha() and not _TRIPLE.search(bare):
             out = (bare,)
@@ -144,31 +148,36 @@ class Restorer:
         self.cache[token] = out
         return out
 
-    def distinct(self, text: str | None) -> set[str]:
-        """All different words of a text, restored; runs of three or more single characters are read together."""
+    @staticmethod
+    def tokens(text: str | None) -> tuple[set[str], list[str]]:
+        """A text's different tokens, and its runs of three or more single characters, each to be read together."""
         if not text:
-            return set()
+            return set(), []
         if not text.isascii():
-            text = unicodedata.normalize("NFKC", text).translate(_HIDDEN)
+            text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
         tokens = text.lower().split()
-        out: set[str] = set()
-        for token in set(tokens):
-            out.update(self.words(token))
-        singles = [i for i, t in enumerate(tokens) if len(t) == 1]
+        runs, singles = [], [i for i, t in enumerate(tokens) if len(t) == 1]
         if len(singles) > 2:
-            run = [singles[0]]
+            first = last = singles[0]
             for i in [*singles[1:], -1]:
-                if i == run[-1] + 1:
-                    run.append(i)
-                    continue
-                if len(run) > 2:
-                    out.update(self.words(" ".join(tokens[run[0] : run[-1] + 1])))
-                run = [i]
+                if i != last + 1:
+                    if last - first > 1:
+                        runs.append(" ".join(tokens[first : last + 1]))
+                    first = i
+                last = i
+        return set(tokens), runs
+
+    def distinct(self, text: str | None) -> set[str]:
+        """All different words of a text, restored."""
+        tokens, runs = self.tokens(text)
+        out: set[str] = set()
+        for token in (*tokens, *runs):
+            out.update(self.words(token))
         return out
 
 
 def features(word: str) -> list[str]:
-    return [word + "$"] + [word[:n] for n in (4, 5, 6) if len(word) >= n]
+    return [word + "$"] + [word[:n] for n in PREFIXES if len(word) >= n]
 
 
 class Model:
@@ -180,7 +189,7 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.restorer, self.cache = model, Restorer(model.chars), {}
+        self.model, self.restorer, self.cache, self.tokens = model, Restorer(model.chars), {}, {}
 
     def weight(self, word: str) -> float:
         if (known := self.cache.get(word)) is not None:
@@ -194,9 +203,22 @@ class Scorer:
         self.cache[word] = out
         return out
 
+    def weighed(self, token: str) -> tuple[tuple[str, float], ...]:
+        """The words of a token that have a weight, with it; kept for the next texts."""
+        out = tuple((word, w) for word in self.restorer.words(token) if (w := self.weight(word)))
+        if len(self.tokens) > CACHE:
+            self.tokens.clear()
+        self.tokens[token] = out
+        return out
+
     def evidence(self, text: str | None) -> tuple[float, float]:
-        weights = [w for word in self.restorer.distinct(text) if (w := self.weight(word))]
-        return (max(weights), math.log1p(sum(weights))) if weights else (0.0, 0.0)
+        tokens, runs = self.restorer.tokens(text)
+        every = [*tokens, *runs]
+        known = list(map(self.tokens.get, every))
+        if None in known:
+            known = [self.weighed(t) if k is None else k for t, k in zip(every, known, strict=True)]
+        weights = dict(pair for k in known if k for pair in k).values()
+        return (max(weights), math.log1p(sum(sorted(weights)))) if weights else (0.0, 0.0)
 
     def score(self, text: str | None) -> float:
         if self.model.logistic is None:
