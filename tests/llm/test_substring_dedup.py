@@ -17,10 +17,10 @@ def test_windows_cover_every_start_once():
     rng = np.random.default_rng(1)
     tokens = rng.integers(0, 2**63, 500).astype(np.uint64)
     owner = np.repeat([0, 1, 2], [200, 30, 270])
-    got = sd.windows(tokens, owner, 46, 1)
-    starts = sorted(i for lo, hi in zip(got[3], got[4], strict=True) for i in range(lo, hi + 1))
-    assert starts == [*range(0, 155), *range(230, 500 - 45)]
-    assert len(got[0]) < 500 * 4 / 46 * 1.5
+    for own, root, first, last in sd.windows(tokens, owner, 46, 2):
+        starts = sorted(i for lo, hi in zip(first, last, strict=True) for i in range(lo, hi + 1))
+        assert starts == [*range(0, 155), *range(230, 500 - 45)]
+        assert len(own) < 500 * 2 / 46 * 1.8 and (root >= last).all() and (root <= first + 45).all()
 
 
 def text(rng, n, tag):
