@@ -10,8 +10,10 @@ Coordinates are joined in BANDS bands of ROWS. Documents with equal shingle sets
 members of a bucket are compared with its smallest member (the pivot), not all with all. Then components are formed, and
 buckets whose members are in one component are done. In the others, members of all components but the largest become
 pivots in turn, more in each round, and are compared with the bucket's members in other components, except pairs that
-their sizes or the triangle inequality of the Jaccard distance rule out. A pivot leaves its bucket. So every pair of a
-bucket is either compared, or ruled out, or already in one component: no link that joins components is lost.
+their sizes or the triangle inequality of the Jaccard distance rule out, or whose signatures agree in too few of all K
+coordinates for a similarity at the threshold (0.9998 of pairs at the threshold agree in enough). A pair is looked at in the
+first bucket that it shares, and a pivot leaves its bucket. So every pair that shares a bucket is either compared, or
+ruled out, or already in one component.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_texts, sized, without
@@ -35,8 +37,10 @@ BANDS, ROWS = 28, 5
 K = BANDS * ROWS
 #: The first rank cell is [0, FIRST), each next one doubles the bound.
 FIRST = 2.0**-3
-#: Pivots of a component of a bucket in the second round; each next round has so many times more.
-PIVOTS = 4
+#: Pivots of a bucket in the second round; each next round has GROWTH times more.
+PIVOTS, GROWTH = 8, 4
+#: Bits of each coordinate that are kept to count agreements; standard deviations below the mean that still count.
+BITS, SLACK = 4, 3.5
 CACHE = 200_000
 
 _WORD = re.compile(r"\w+")
@@ -135,8 +139,34 @@ def bands_of(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return out
 
 
+def planes_of(signatures: np.ndarray) -> np.ndarray:
+    """BITS bits of each coordinate, as BITS planes of one bit a coordinate, packed in 64-bit words."""
+    words = -(-signatures.shape[1] // 64)
+    out = np.zeros((len(signatures), BITS, words * 64), dtype=np.uint8)
+    for b in range(BITS):
+        out[:, b, : signatures.shape[1]] = (signatures >> np.uint64(b)) & np.uint64(1)
+    return np.packbits(out.reshape(len(signatures), -1), axis=1).view(np.int64)
+
+
+def least_agreement(threshold: float, k: int = K) -> int:
+    """Coordinates in which pairs at the threshold agree, less SLACK standard deviations; by chance BITS bits agree too."""
+    p = threshold + (1 - threshold) / 2**BITS
+    return math.floor(k * p - SLACK * math.sqrt(k * p * (1 - p)))
+
+
+def _agreement(x: str, y: str, k: int = K) -> Column:
+    words = -(-k // 64)
+    differ = F.lit(0)
+    for w in range(words):
+        bits = F.lit(0).cast("bigint")
+        for b in range(BITS):
+            bits = bits.bitwiseOR(F.col(x)[b * words + w].bitwiseXOR(F.col(y)[b * words + w]))
+        differ = differ + F.bit_count(bits)
+    return F.lit(k) - differ
+
+
 def signatures(docs: DataFrame, weighting: str = "set", text: str = "text") -> DataFrame:
-    """``docs`` without the text, with n (distinct shingles), fa and fb (128 bits of the weighted set) and bands.
+    """``docs`` without the text, with n (distinct shingles), fa and fb (128 bits of the weighted set), bands and planes.
 
     ``weighting``: "set" gives each shingle weight 1, so that similarity is that of shingle sets; "count" its number of
     occurrences.
@@ -152,19 +182,20 @@ def signatures(docs: DataFrame, weighting: str = "set", text: str = "text") -> D
             counts = np.concatenate([s[1] for s in sets])
             weights = np.ones(len(keys)) if weighting == "set" else counts.astype(np.float64)
             owner = np.repeat(np.arange(len(sets)), sizes)
-            bands = bands_of(sketch(keys, weights, owner, len(sets))).view(np.int64)
-            bands = bands[sizes > 0]
+            found = sketch(keys, weights, owner, len(sets))[sizes > 0]
+            bands, planes = bands_of(found).view(np.int64), planes_of(found)
             offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
             prints = []
             for salt in (1, 2):
                 total = np.zeros(len(sets), dtype=np.uint64)
                 np.add.at(total, owner, mix(mix(keys + np.uint64(salt)) + weights.astype(np.uint64)))
                 prints.append(pa.array(total.view(np.int64)))
-            return [pa.array(sizes, pa.int32()), *prints, pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel()))]
+            lists = [pa.ListArray.from_arrays(pa.array(offsets // BANDS * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel())) for x in (bands, planes)]
+            return [pa.array(sizes, pa.int32()), *prints, *lists]
 
         return run
 
-    whole = map_texts(docs, [("n", "int", pa.int32()), ("fa", "bigint", pa.int64()), ("fb", "bigint", pa.int64()), ("bands", "array<bigint>", pa.list_(pa.int64()))], make, text=text)
+    whole = map_texts(docs, [("n", "int", pa.int32()), ("fa", "bigint", pa.int64()), ("fb", "bigint", pa.int64()), ("bands", "array<bigint>", pa.list_(pa.int64())), ("planes", "array<bigint>", pa.list_(pa.int64()))], make, text=text)
     return whole.drop(text)
 
 
@@ -218,28 +249,31 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighting: st
     links.append(scratch.keep(compared.where(F.col("j") >= threshold).select("a", "b")))
     near = members.join(compared.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "j"), ["rep", "pivot"])
     size = sets.groupBy(F.col("doc_id").alias("rep")).agg(F.min(F.size("s")).alias("lo"), F.max(F.size("s")).alias("hi"), (F.count("*") > 1).alias("many"))
-    left = scratch.keep(near.select("bucket", "rep", "j").join(size, "rep"))
+    marks = sigs.where("n > 0").groupBy(F.col("doc_id").alias("rep")).agg(F.flatten(F.collect_list("bands")).alias("bands"), F.first("planes").alias("planes"))
+    left = near.select("bucket", "rep", "j").join(size, "rep")
     each = PIVOTS
     while True:
         found = scratch.keep(components(_all(links[1:]), scratch))
         placed = left.join(found, F.col("rep") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rep")).drop("id")
         groups = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"))
         largest = groups.groupBy("bucket").agg(F.count("*").alias("groups"), F.max(F.struct("k", "component")).alias("most")).where("groups > 1").select("bucket", F.col("most.component").alias("largest"))
-        open_ = scratch.keep(placed.join(largest, "bucket"))
+        open_ = placed.join(largest, "bucket")
+        open_ = scratch.keep(open_ if "bands" in left.columns else open_.join(marks, "rep"))
         if open_.isEmpty():
             break
-        turn = F.row_number().over(Window.partitionBy("bucket", "component").orderBy("rep"))
+        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
         pivots = open_.where("component <> largest").withColumn("turn", turn).where(F.col("turn") <= each).drop("turn", "largest")
         pivots = scratch.keep(pivots)
-        x, y = pivots.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("rep", "j", "lo", "hi", "many", "component")]), open_
+        x, y = pivots.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("rep", "j", "lo", "hi", "many", "component", "bands", "planes")]), open_
         pairs = x.join(y, "bucket").where("component <> x_component")
         # an id with several texts has no one distance to the pivot
         pairs = pairs.where((F.col("many") | F.col("x_many") | (F.abs(F.col("j") - F.col("x_j")) <= 1 - threshold + 1e-9)) & (F.col("hi") >= threshold * F.col("x_lo")) & (F.col("x_hi") >= threshold * F.col("lo")))
+        pairs = pairs.where((F.col("many") | F.col("x_many") | (_agreement("planes", "x_planes") >= least_agreement(threshold))) & (F.array_min(F.array_intersect("bands", "x_bands")) == F.col("bucket")))
         pairs = pairs.select(F.greatest("rep", "x_rep").alias("a"), F.least("rep", "x_rep").alias("b")).distinct()
         compared = _compared(pairs, sets, scratch)
         links.append(scratch.keep(compared.where(F.col("j") >= threshold).select("a", "b")))
-        left = scratch.keep(open_.join(pivots.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "j", "lo", "hi", "many"))
-        each *= PIVOTS
+        left = scratch.keep(open_.join(pivots.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "j", "lo", "hi", "many", "bands", "planes"))
+        each *= GROWTH
     found = components(_all([links[0], found.select(F.col("id").alias("a"), F.col("component").alias("b"))]), scratch)
     ids = sigs.select("doc_id").distinct()
     class_id = F.coalesce("component", "doc_id")
