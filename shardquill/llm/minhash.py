@@ -7,7 +7,7 @@ rank, so two documents agree in a coordinate with the probability of their weigh
 in order of rank until every coordinate has a dart, about K ln K darts a document however many shingles it has.
 
 Coordinates are joined in BANDS bands of ROWS. Documents with equal shingle sets are one class and take part once. The
-members of a bucket are compared with its smallest member (the pivot), not all with all. Then components are formed, and
+members of a bucket are compared with one of them (the pivot), not all with all. Then components are formed, and
 buckets whose members are in one component are done. In the others, members of all components but the largest become
 pivots in turn, more in each round, and are compared with the bucket's members in other components, except pairs that
 their sizes or the triangle inequality of the Jaccard distance rule out, or whose signatures agree in too few of all K
@@ -236,9 +236,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighting: st
     reps = classes.select("rep", "fa", "fb")
     banded = sigs.withColumnsRenamed({"fa": "__fa", "fb": "__fb"}).join(reps, (F.col("doc_id") == F.col("rep")) & (F.col("__fa") == F.col("fa")) & (F.col("__fb") == F.col("fb"))).dropDuplicates(["rep", "fa", "fb"])
     buckets = scratch.keep(banded.select("rep", F.explode("bands").alias("bucket")).distinct())
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").select("bucket", "pivot")
-    members = scratch.keep(buckets.join(shared, "bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = scratch.keep(buckets.join(shared, "bucket"))
     scratch.drop(buckets)
+    # the pivot is the member whose buckets are largest: near the middle of its group, it rules out most later pairs
+    scored = crowded.select("bucket", "rep").join(crowded.groupBy("rep").agg(F.sum("n").alias("score")), "rep")
+    pivots = scored.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("rep")).alias("rep"))).alias("p")).select("bucket", (-F.col("p.rep")).alias("pivot"))
+    members = scratch.keep(crowded.select("bucket", "rep").join(pivots, "bucket"))
+    scratch.drop(crowded)
     ids = scratch.keep(members.select(F.col("rep").alias("doc_id")).distinct())
     wanted = texts.join(sized(ids), "doc_id", "left_semi")
     # an id with several texts is compared by each of them
