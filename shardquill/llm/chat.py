@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 
 @dataclass(frozen=True)
 class Template:
@@ -84,7 +86,7 @@ def segments(conversations: DataFrame, template: Template = Template()) -> DataF
                     seq += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()), strict=True)], names=["conv_id", "seq", "segment", "loss", "state"])
 
-    return rows.mapInArrow(run, SEGMENTS)
+    return map_arrow(rows, run, SEGMENTS)
 
 
 def read_back(formatted: DataFrame, template: Template = Template(), in_order: bool = False) -> DataFrame:
@@ -110,7 +112,7 @@ def read_back(formatted: DataFrame, template: Template = Template(), in_order: b
             yield _results(done)
         yield _results([reader.result()] if reader else [])
 
-    return rows.mapInArrow(run, READ)
+    return map_arrow(rows, run, READ)
 
 
 class _Reader:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 #: Rows of one bigint id that may be broadcast; about 32 MB on each executor.
 BROADCAST_IDS = 2_000_000
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,14 +44,17 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/shardquill/{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n}"
         self.n += 1
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")  # the shuffle files of this job go with it; nothing reads them later
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(back)] = path
         back._scratch_path = path
         return back
 
@@ -57,6 +64,30 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that their Python finds it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = Path(__file__).resolve().parent.parent
+    if not package.is_dir():
+        return  # imported from an archive, which was shipped already
+    archive = Path(tempfile.mkdtemp(prefix="shardquill-")) / "shardquill_package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def map_texts(df: DataFrame, new: list[tuple[str, str, pa.DataType]], make: Callable[[], Callable[[list], list]], text: str = "text", chars: int = 4 << 20) -> DataFrame:
     """``df`` with new columns computed by Python from its text column, in slices of bounded size.
 
@@ -81,7 +112,7 @@ def map_texts(df: DataFrame, new: list[tuple[str, str, pa.DataType]], make: Call
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in out] + arrays, names=header)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, sized
+from .common import Scratch, map_arrow, sized
 from .graph import components
 
 THRESHOLD, RECALL, BLOCK, SEED = 0.93, 0.9995, 1024, 20_26
@@ -90,7 +90,7 @@ def _coded(reps: DataFrame, bits: int, tables: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.ravel()))], names=["rep", "m", "label", "dim", "v", "codes"])
 
     kind = reps.schema["label"].dataType.simpleString()
-    return reps.mapInArrow(run, f"rep bigint, m bigint, label {kind}, dim int, v array<double>, codes array<int>")
+    return map_arrow(reps, run, f"rep bigint, m bigint, label {kind}, dim int, v array<double>, codes array<int>")
 
 
 def _compared(grouped: DataFrame, threshold: float) -> DataFrame:
@@ -114,7 +114,7 @@ def _compared(grouped: DataFrame, threshold: float) -> DataFrame:
             yield _joined(out)
         yield _joined([_group(held, threshold)] if held else [])
 
-    return grouped.mapInArrow(run, "rep bigint, n bigint, root bigint")
+    return map_arrow(grouped, run, "rep bigint, n bigint, root bigint")
 
 
 def _joined(parts: list) -> pa.RecordBatch:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_arrow, map_texts
 
 #: Documents of each language that the model is fitted on; languages, words of each and n-grams of each length of each.
 SAMPLE, LANGUAGES, WORDS, GRAMS = 8_000, 500, 20_000, 8_000
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, learn, lang: str = "lang", text: str = "text", key: str
                         found[item] += c
                 yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(found)), pa.array([n] * len(found), pa.int32()), pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["lang", "n", "item", "count"])
 
-    found = sample.mapInArrow(count, "lang string, n int, item string, count bigint").groupBy("lang", "n", "item").agg(F.sum("count").alias("count")).where("count > 1")
+    found = map_arrow(sample, count, "lang string, n int, item string, count bigint").groupBy("lang", "n", "item").agg(F.sum("count").alias("count")).where("count > 1")
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "item")))
     kept = ranked.where((F.col("n") == 0) & (F.col("r") <= WORDS) | (F.col("n") > 0) & (F.col("r") <= GRAMS))
     return Model([tuple(r) for r in kept.select("lang", "n", "item", "count").collect()])

@@ -1,17 +1,20 @@
 """Passages that repeat across documents, by compact windows over token min-hashes.
 
 Tokens are hashes of five-word shingles. Under one hash function all sequences of LENGTH tokens that share their smallest
-token, the root of the Cartesian tree over them, form a compact window (first start, root, last start). A text of n
-tokens has about 2n/LENGTH of them a function, whatever it repeats. The windows of two functions are joined on their
-intervals of starts: where they overlap, the sequences share both roots, and these two tokens are the key by which
-windows of different documents meet; BANDS such pairs of functions are used. Because sequences of one fixed length
-suffice (a longer passage holds shorter ones that are as similar), roots are found by sliding minima, the trees' roots
-for all starts at once, rather than by building the trees.
-
-Windows that share a key are compared with the first of them, never all with all. Windows that do not match it go on to
-a next round with those that match it only nearly; one that equals it tells nothing new. A match is verified on the
-documents' token sequences: sequences of LENGTH tokens are near duplicates if their Jaccard similarity, aligned at the
-shared root, is at least THRESHOLD.
+token, the root of the Cartesian tree over them, form a compact window (root, first start, last start). A text of n
+tokens has about 2n/LENGTH of them a function, whatever it repeats. Because sequences of one fixed length suffice (a
+longer passage holds shorter ones that are as similar), roots are found as sliding minima, the trees' roots for all
+starts at once, rather than by building the trees. FUNCTIONS hash functions are used.
+
+Windows of different documents meet by their root and the CONTEXT tokens that begin or end at it. Near-duplicate
+sequences differ in a stretch of tokens at most, so one of the two contexts is equal unless the difference is next to
+the root; equal passages always meet. Windows that meet are compared with the first of them, never all with all, on the
+documents' token sequences aligned at the root: sequences of LENGTH tokens are near duplicates if their Jaccard
+similarity is at least THRESHOLD. Windows that no passage found so far covers go on: to a second pivot, then to groups
+by a longer context (FAR_CONTEXT: of two equal passages one side of the root has as much), which parts those that share
+no more than a phrase, and there to more pivots in each round, as long as a group's documents are in different
+components: so every link of a group that joins components is found, and a passage whose documents are in one component
+already is reported where some pivot matched it.
 """
 
 from __future__ import annotations
@@ -24,14 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, one_per_id, sized, slices
+from .common import Scratch, map_arrow, map_texts, one_per_id, sized, slices
 from .graph import components
-from .minhash import WORDS, Shingler, mix
+from .minhash import WORDS, Shingler, _all, mix
 
 #: Words of the shortest passage, and what that is in tokens.
 PASSAGE = 50
 LENGTH = PASSAGE - WORDS + 1
-THRESHOLD, BANDS = 0.8, 3
+THRESHOLD, FUNCTIONS = 0.8, 3
+#: Tokens from the root on that windows meet by, first and later; LENGTH tokens have FAR_CONTEXT on one side of any root.
+CONTEXT, FAR_CONTEXT = 10, LENGTH // 2
+#: Pivots of a group in the first round by the longer context; each next round has so many times more.
+PIVOTS = 4
 #: Tokens by which one text's passage may have shifted against the other's within a window.
 SLACK = 8
 _BITS = 24
@@ -51,23 +58,36 @@ def roots(hashes: np.ndarray, length: int) -> np.ndarray:
     return (best & low).astype(np.int64)
 
 
-def windows(tokens: np.ndarray, owner: np.ndarray, length: int = LENGTH, bands: int = BANDS) -> tuple[np.ndarray, ...]:
-    """(owner, key, root, first start, last start) of all joined windows of several texts, laid end to end."""
-    none = np.zeros(0, dtype=np.int64)
+def windows(tokens: np.ndarray, owner: np.ndarray, length: int = LENGTH, functions: int = FUNCTIONS) -> list[tuple[np.ndarray, ...]]:
+    """(owner, root, first start, last start) of all compact windows of several texts, laid end to end, by function."""
     if len(tokens) < length:
-        return none, none, none, none, none
+        return []
     inside = owner[: len(owner) - length + 1] == owner[length - 1 :]
     out = []
-    for band in range(bands):
-        a, b = (roots(mix(tokens + np.uint64((2 * band + f + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), length) for f in (0, 1))
-        change = np.ones(len(a), dtype=bool)
-        change[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (inside[1:] != inside[:-1])
+    for f in range(functions):
+        root = roots(mix(tokens + np.uint64((f + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), length)
+        change = np.ones(len(root), dtype=bool)
+        change[1:] = (root[1:] != root[:-1]) | (inside[1:] != inside[:-1])
         first = np.flatnonzero(change)
-        last = np.append(first[1:], len(a)) - 1
+        last = np.append(first[1:], len(root)) - 1
         ok = inside[first]
-        first, last = first[ok], last[ok]
-        key = mix(mix(tokens[a[first]] + np.uint64(band + 1)) + tokens[b[first]])
-        out.append((owner[first], key.view(np.int64), a[first], first, last))
+        out.append((owner[first[ok]], root[first[ok]], first[ok], last[ok]))
+    return out
+
+
+def keyed(tokens: np.ndarray, owner: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray, ...]:
+    """(owner, key, root, first start, last start): each window under its context after the root and the one before it."""
+    if len(tokens) < LENGTH:
+        return (np.zeros(0, dtype=np.int64),) * 5
+    run = np.zeros(len(tokens) - context + 1, dtype=np.uint64)
+    for k in range(context):
+        run = mix(run * np.uint64(0x9E3779B97F4A7C15) + tokens[k : len(tokens) - context + 1 + k])
+    out = []
+    for own, root, first, last in windows(tokens, owner):
+        for side, start in ((1, root), (2, root - context + 1)):
+            ok = (start >= 0) & (start + context <= len(tokens))
+            ok[ok] = (owner[start[ok]] == own[ok]) & (owner[start[ok] + context - 1] == own[ok])
+            out.append((own[ok], mix(run[start[ok]] + np.uint64(side)).view(np.int64), root[ok], first[ok], last[ok]))
     return tuple(np.concatenate([x[i] for x in out]) for i in range(5))
 
 
@@ -84,11 +104,11 @@ def _windows(texts: DataFrame) -> DataFrame:
                 tokens = [shingler.shingles(t) for t in part.column(1).to_pylist()]
                 sizes = np.array([len(t) for t in tokens])
                 at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                owner, key, c, lo, hi = windows(np.concatenate(tokens), np.repeat(np.arange(len(tokens)), sizes))
+                owner, key, c, lo, hi = keyed(np.concatenate(tokens), np.repeat(np.arange(len(tokens)), sizes))
                 base = at[owner]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(key), *(pa.array((x - base).astype(np.int32)) for x in (c, lo, hi))], names=fields)
 
-    return texts.mapInArrow(run, "doc_id bigint, key bigint, c int, lo int, hi int")
+    return map_arrow(texts, run, "doc_id bigint, key bigint, c int, lo int, hi int")
 
 
 _MEMBER = ["key", "doc_id", "c", "lo", "hi", "p_doc", "p_c", "p_lo", "p_hi"]
@@ -119,52 +139,59 @@ def _members(rows: DataFrame) -> DataFrame:
             held = [c[pivot[-1] : pivot[-1] + 1] for c in cols]
 
     dealt = rows.select("key", "doc_id", "c", "lo", "hi").repartition("key").sortWithinPartitions("key", "doc_id", "c")
-    return dealt.mapInArrow(run, _MEMBERS)
+    return map_arrow(dealt, run, _MEMBERS)
 
 
-def _spans(a: np.ndarray, b: np.ndarray, need: int, length: int, offset: int) -> list[tuple[int, int]]:
-    """Stretches of ``a`` covered by runs of ``length`` tokens of which at least ``need`` are in ``b``, from the first such token to the last."""
-    if len(a) < length:
-        return []
-    hit = np.isin(a, b)
+def _stretches(hit: np.ndarray, need: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of runs of ``length`` places of which at least ``need`` are hits, and the (start, end) of what they cover, cut to the outermost hits."""
     sums = np.concatenate([[0], np.cumsum(hit)])
-    good = np.flatnonzero(sums[length:] - sums[:-length] >= need)
+    good = np.flatnonzero(sums[length:] - sums[:-length] >= need) if len(hit) >= length else np.zeros(0, dtype=np.int64)
     if not len(good):
-        return []
-    cover = np.zeros(len(a) + 1, dtype=np.int64)
-    np.add.at(cover, good, 1)
-    np.add.at(cover, good + length, -1)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(cover)[:-1] > 0).astype(np.int8), [0]])))
+        return good, np.zeros((0, 2), dtype=np.int64)
+    cut = np.flatnonzero(good[1:] > good[:-1] + length) + 1
+    begin, end = good[np.concatenate([[0], cut])], good[np.concatenate([cut - 1, [len(good) - 1]])] + length
     places = np.flatnonzero(hit)
-    first, last = places[np.searchsorted(places, edges[::2])], places[np.searchsorted(places, edges[1::2]) - 1] + 1
-    return [(int(x) + offset, int(y) + offset) for x, y in zip(first, last, strict=True)]
+    return good, np.stack([places[np.searchsorted(places, begin)], places[np.searchsorted(places, end) - 1] + 1], axis=1)
 
 
-def compare(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, ...]], threshold: float = THRESHOLD, length: int = LENGTH) -> tuple[list, list, list[int]]:
+def compare(a: np.ndarray, b: np.ndarray, anchors: np.ndarray, threshold: float = THRESHOLD, length: int = LENGTH) -> tuple[list, list, np.ndarray]:
     """Spans of near-duplicate tokens in ``a`` and ``b``, and for each anchor 0 (no match), 1 (near) or 2 (equal).
 
-    An anchor (c, lo, hi in b; c, lo, hi in a) says that the sequences starting in lo..hi share the root at c.
+    An anchor (c, lo, hi in b; c, lo, hi in a) says that the sequences starting in lo..hi share the root at c. All
+    anchors with one shift are read off the same comparison place by place; those that it does not satisfy are
+    compared as sets around their window, which allows for words put in or left out.
     """
     need = math.ceil(2 * length * threshold / (1 + threshold) - 1e-9)
     spans_a: set = set()
     spans_b: set = set()
-    status = []
-    for bc, blo, bhi, ac, alo, ahi in anchors:
-        left, right = min(ac - alo, bc - blo), min(ahi - ac, bhi - bc) + length
-        if left + right >= length and (a[ac - left : ac + right] == b[bc - left : bc + right]).all():
-            spans_a.add((ac - left, ac + right))
-            spans_b.add((bc - left, bc + right))
-            status.append(2)
-            continue
+    status = np.zeros(len(anchors), dtype=np.int32)
+    shifts = anchors[:, 0] - anchors[:, 3]
+    for shift in np.unique(shifts):
+        at = np.flatnonzero(shifts == shift)
+        start = max(0, -shift)
+        stop = min(len(a), len(b) - shift)
+        equal = a[start:stop] == b[start + shift : stop + shift]
+        good, found = _stretches(equal, need, length)
+        spans_a.update((int(s + start), int(e + start)) for s, e in found)
+        spans_b.update((int(s + start + shift), int(e + start + shift)) for s, e in found)
+        lo = np.maximum(anchors[at, 4], anchors[at, 1] - shift) - start
+        hi = np.minimum(anchors[at, 5], anchors[at, 2] - shift) - start
+        some = np.searchsorted(good, hi, "right") > np.searchsorted(good, lo, "left")
+        sums = np.concatenate([[0], np.cumsum(equal)])
+        lo, end = np.clip(lo, 0, len(equal)), np.clip(hi + length, 0, len(equal))
+        whole = (sums[end] - sums[lo] == end - lo) & (end - lo >= length)
+        status[at] = np.where(whole, 2, np.where(some, 1, 0))
+    for i in np.flatnonzero(status == 0):
+        _, blo, bhi, _, alo, ahi = anchors[i].tolist()
         alo2, blo2 = max(0, alo - SLACK), max(0, blo - SLACK)
-        in_a = _spans(a[alo : ahi + length], b[blo2 : bhi + length + SLACK], need, length, alo)
-        in_b = _spans(b[blo : bhi + length], a[alo2 : ahi + length + SLACK], need, length, blo)
-        if in_a and in_b:
-            spans_a.update(in_a)
-            spans_b.update(in_b)
-            status.append(1)
-        else:
-            status.append(0)
+        _, in_a = _stretches(np.isin(a[alo : ahi + length], b[blo2 : bhi + length + SLACK]), need, length)
+        if not len(in_a):
+            continue
+        _, in_b = _stretches(np.isin(b[blo : bhi + length], a[alo2 : ahi + length + SLACK]), need, length)
+        if len(in_b):
+            spans_a.update((int(s + alo), int(e + alo)) for s, e in in_a)
+            spans_b.update((int(s + blo), int(e + blo)) for s, e in in_b)
+            status[i] = 1
     return _union(spans_a), _union(spans_b), status
 
 
@@ -193,13 +220,13 @@ def _compared(pairs: DataFrame, threshold: float) -> DataFrame:
                 a, b = batch.column(2)[i].values.to_numpy(), batch.column(3)[i].values.to_numpy()
                 rows = batch.column(4)[i].values
                 cols = [rows.field(k).to_numpy() for k in range(7)]
-                spans_a, spans_b, status = compare(a, b, list(zip(*(c.tolist() for c in cols[1:]), strict=True)), threshold)
+                spans_a, spans_b, status = compare(a, b, np.stack(cols[1:], axis=1).astype(np.int64), threshold)
                 out += [(-1, p, d, 0, 0, s, e) for s, e in spans_a] + [(-1, d, p, 0, 0, s, e) for s, e in spans_b]
-                out += [(st, d, p, k, c, lo, hi) for st, k, c, lo, hi in zip(status, cols[0].tolist(), cols[1].tolist(), cols[2].tolist(), cols[3].tolist(), strict=True)]
+                out += [(st, d, p, k, c, lo, hi) for st, k, c, lo, hi in zip(status.tolist(), cols[0].tolist(), cols[1].tolist(), cols[2].tolist(), cols[3].tolist(), strict=True)]
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["kind", "doc_id", "other", "key", "c", "lo", "hi"])
 
-    return pairs.mapInArrow(run, _FOUND)
+    return map_arrow(pairs, run, _FOUND)
 
 
 def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,29 +248,45 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, key: str =
         shingler = Shingler()
 
         def run(values: list[str | None]) -> list:
-            tokens = [shingler.shingles(t).view(np.int64) for t in values]
+            tokens = [(shingler.shingles(t) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in values]
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
             return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens)))]
 
         return run
 
-    held = map_texts(texts.join(sized(ids), "doc_id", "left_semi"), [("s", "array<bigint>", pa.list_(pa.int64()))], make).drop("text")
+    held = map_texts(texts.join(sized(ids), "doc_id", "left_semi"), [("s", "array<int>", pa.list_(pa.int32()))], make).drop("text")
     held = scratch.keep(held)
     found = []
-    while True:
-        pairs = members.groupBy("p_doc", "doc_id").agg(F.collect_list(F.struct("key", "c", "lo", "hi", "p_c", "p_lo", "p_hi")).alias("anchors"))
+
+    def compared(members: DataFrame, among: DataFrame | None = None) -> DataFrame:
+        """Verify the members against their pivots: keep the spans, return what of them (or ``among``) no span covers, by key."""
+        pairs = members.groupBy("p_doc", "doc_id").agg(F.collect_set(F.struct("key", "c", "lo", "hi", "p_c", "p_lo", "p_hi")).alias("anchors"))
         pairs = pairs.join(held.select(F.col("doc_id").alias("p_doc"), F.col("s").alias("a")), "p_doc").join(held.withColumnRenamed("s", "b"), "doc_id")
         now = scratch.keep(_compared(pairs, threshold))
-        scratch.drop(members)
         found.append(now.where("kind = -1").select("doc_id", "other", "lo", "hi"))
-        far = now.where("kind = 0").select("key").distinct()
-        rest = now.where("kind in (0, 1)").join(far, "key", "left_semi")
-        members = scratch.keep(_pivots(rest))
+        far = now.where("kind >= 0").groupBy("key", "doc_id", "c", "lo", "hi").agg(F.max("kind").alias("kind")).where("kind = 0").drop("kind") if among is None else among
+        spans = _all(found).select(F.col("doc_id").alias("s_doc"), F.col("lo").alias("s_lo"), F.col("hi").alias("s_hi")).distinct()
+        inside = (F.col("doc_id") == F.col("s_doc")) & (F.col("s_lo") <= F.col("lo")) & (F.col("s_hi") >= F.col("hi") + LENGTH)
+        far = far.join(spans, inside, "left_anti")
+        several = far.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key")
+        return scratch.keep(far.join(several, "key", "left_semi"))
+
+    left = compared(members)
+    left = compared(scratch.keep(_pivots(left, 1).select(*_MEMBER)))
+    left = scratch.keep(_longer(left, held))
+    n = PIVOTS
+    while True:
+        classes = components(_all(found).select(F.col("doc_id").alias("a"), F.col("other").alias("b")), scratch)
+        placed = left.join(classes, F.col("doc_id") == F.col("id"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("id")
+        apart = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+        left = scratch.keep(placed.join(apart, "key", "left_semi"))
+        members = scratch.keep(_pivots(left, n).where("component <> p_component").select(*_MEMBER))
         if members.isEmpty():
             break
-    spans = found[0]
-    for more in found[1:]:
-        spans = spans.unionByName(more)
+        used = left.join(members.select("key", F.col("p_doc").alias("doc_id"), F.col("p_c").alias("c")).distinct(), ["key", "doc_id", "c"], "left_semi").select("key", "doc_id", "c")
+        left = scratch.keep(compared(members, left.drop("component")).join(used, ["key", "doc_id", "c"], "left_anti"))
+        n *= PIVOTS
+    spans = _all(found)
     pairs = spans.select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
     classes = components(pairs, scratch)
     n_links = pairs.groupBy("a").agg(F.count("*").alias("n_links"))
@@ -257,9 +300,20 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, key: str =
     return out.select("doc_id", F.col("lo").alias("start_word"), end.alias("end_word"), (end - F.col("lo")).alias("n_words"), F.col("component").alias("class_id"), "n_links")
 
 
-def _pivots(rest: DataFrame) -> DataFrame:
-    """Members for the next round: the pivot of a key is its first window that did not match the last one."""
-    row = F.struct("doc_id", "c", "lo", "hi")
-    pivot = rest.where("kind = 0").groupBy("key").agg(F.min(row).alias("p"))
-    both = rest.select("key", "doc_id", "c", "lo", "hi").join(pivot, "key").where(F.col("doc_id") != F.col("p.doc_id"))
-    return both.select("key", "doc_id", "c", "lo", "hi", F.col("p.doc_id").alias("p_doc"), F.col("p.c").alias("p_c"), F.col("p.lo").alias("p_lo"), F.col("p.hi").alias("p_hi"))
+def _pivots(left: DataFrame, n: int) -> DataFrame:
+    """Members for the next round: the first ``n`` windows of a key, and its windows of other documents."""
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "c"))
+    names = {"doc_id": "doc", "component": "component", "c": "c", "lo": "lo", "hi": "hi"}
+    pivots = left.withColumn("turn", turn).where(F.col("turn") <= n).select("key", *[F.col(x).alias(f"p_{y}") for x, y in names.items() if x in left.columns])
+    return left.join(pivots, "key").where("doc_id <> p_doc")
+
+
+def _longer(left: DataFrame, held: DataFrame) -> DataFrame:
+    """``left`` under keys of FAR_CONTEXT tokens after or before the root, where the text has as many."""
+    rows = left.select("doc_id", "c", "lo", "hi").distinct().join(held, "doc_id")
+    context = F.lit(FAR_CONTEXT)
+    after = F.when(F.col("c") + context <= F.size("s"), F.xxhash64(F.lit(1), F.slice("s", F.col("c") + 1, context)))
+    before = F.when(F.col("c") + 1 >= context, F.xxhash64(F.lit(2), F.slice("s", F.greatest(F.col("c") - context + 2, F.lit(1)), context)))
+    both = rows.select("doc_id", "c", "lo", "hi", F.explode(F.array(after, before)).alias("key")).where("key is not null")
+    several = both.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key")
+    return both.join(several, "key", "left_semi")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_arrow, map_texts
 
 #: Labelled rows of each class that weights are fitted on (the first by a hash of their id); n-grams and weights kept.
 SAMPLE, GRAMS, WEIGHTS = 10_000, 150_000, 20_000
@@ -255,7 +255,7 @@ def fit_characters(docs: DataFrame, text: str = "text") -> CharModel:
         spill()
         yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["gram", "count"])
 
-    found = docs.select(text).mapInArrow(count, "gram string, count bigint").groupBy("gram").agg(F.sum("count").alias("count"))
+    found = map_arrow(docs.select(text), count, "gram string, count bigint").groupBy("gram").agg(F.sum("count").alias("count"))
     return CharModel(dict(map(tuple, found.orderBy(F.desc("count"), "gram").limit(GRAMS).collect())))
 
 
@@ -284,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, text: str = "text", key: str
         names = list(set().union(*found))
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())] + [pa.array([c[n] for n in names], pa.int64()) for c in found], names=["feature", "c0", "t0", "c1", "t1"])
 
-    counted = sample.mapInArrow(count, "feature string, c0 bigint, t0 bigint, c1 bigint, t1 bigint").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")])
+    counted = map_arrow(sample, count, "feature string, c0 bigint, t0 bigint, c1 bigint, t1 bigint").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")])
     top = counted.where((F.col("t0") + F.col("t1") >= LEAST_ROWS) & (F.col("t0") + F.col("t1") > F.col("c0") + F.col("c1")) | (F.col("feature") == ""))
     rows = {r[0]: r[1:] for r in map(tuple, top.orderBy(F.desc(F.col("feature") == ""), F.desc(F.expr("(t0 + t1) / (c0 + c1 + 1)")), "feature").limit(WEIGHTS).collect())}
     c0, t0, c1, t1 = rows.pop("", (0, 0, 0, 0))
@@ -306,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, text: str = "text", key: str
             seen = [scorers[half].evidence(value.as_py()) for value, half in zip(batch.column(0), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([toxic, pa.array([s[0] for s in seen], pa.float64()), pa.array([s[1] for s in seen], pa.float64())], names=["toxic", "most", "total"])
 
-    seen = np.array([tuple(r) for r in sample.mapInArrow(weigh, "toxic int, most double, total double").collect()], dtype=float)
+    seen = np.array([tuple(r) for r in map_arrow(sample, weigh, "toxic int, most double, total double").collect()], dtype=float)
     return Model(chars, whole, logistic(seen[:, 1:], seen[:, 0]))
 
 
