@@ -20,6 +20,7 @@ from .plans import query, shapes
 from .plans.predicates import families
 from .plans.spec import TABLES, TableSpec
 from .sources import csvio
+from .sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -483,3 +484,59 @@ def _thread_pages(spark, sf):
     # the limit is the feature: a page of threads
     roots = query.select(c, {"turn": 0}, desc="conv_id", limit=20, primary_key="conv_id").select("conv_id")
     return c.where("turn > 0").join(F.broadcast(roots), "conv_id", "left_semi").select("conv_id", "turn", "role")
+
+
+# the store: nations as counters, one url a region
+
+
+def _store(spark: SparkSession, sf: str) -> Store:
+    store = Store(spark, _tmp(spark), clock=lambda: NOW)
+    n = _table(spark, sf, "nation")
+    store.add("Counter", n.select(F.concat(F.lit("/r/"), F.col("n_regionkey").cast("string")).alias("url"), F.col("n_nationkey").alias("time"), F.col("n_name").alias("name")))
+    return store
+
+
+_NATIONS = "SELECT '/r/' || CAST(n_regionkey AS VARCHAR) AS url, CAST(n_nationkey AS VARCHAR) AS time, n_name AS name FROM nation"
+_N = ["url", "time", "name"]
+
+
+@_register("version_pin", _NATIONS)
+def _version_pin(spark, sf):
+    store = _store(spark, sf)
+    store.update("Counter", {"time": 0}, {"url": "/r/1"})
+    return store.select("Counter", version=0).select(*_N)
+
+
+@_register("store_changes", f"SELECT url, CASE WHEN url = '/r/1' THEN CAST(CAST(time AS BIGINT) + 1 AS VARCHAR) ELSE time END AS time, name FROM ({_NATIONS}) WHERE url <> '/r/2'")
+def _store_changes(spark, sf):
+    store = _store(spark, sf)
+    store.begin().update("Counter", dml.increment("time"), {"url": "/r/1"}).delete("Counter", {"url": "/r/2"}).commit()
+    return store.select("Counter").select(*_N)
+
+
+@_register("snapshot_restore", _NATIONS)
+def _snapshot_restore(spark, sf):
+    store = _store(spark, sf)
+    date = store.create_snapshot()
+    store.delete("Counter", {"url": ["IN", ["/r/2", "/r/3"]]})
+    store.restore(date)
+    return store.select("Counter").select(*_N)
+
+
+@_register("rebuild", f"SELECT * FROM ({_NATIONS}) WHERE url <> '/r/3'")
+def _rebuild(spark, sf):
+    store = _store(spark, sf)
+    store.files.remove(next(e["place"] for e in store.manifest("Counter").values() if e["min_key"] == "/r/3"))
+    store.rebuild("Counter")
+    return store.select("Counter").select(*_N)
+
+
+@_register("stats", "SELECT 'Counter' AS name, count(DISTINCT n_regionkey) AS shards, count(*) AS row_count FROM nation")
+def _stats(spark, sf):
+    found = _store(spark, sf).stats()
+    return spark.createDataFrame([(t, n, found["rows"][t]) for t, n in found["shards"].items()], "name string, shards bigint, row_count bigint")
+
+
+@_register("store_tree", f"WITH n AS ({_NATIONS}) SELECT DISTINCT substr(sha1(url), 1, 2) || '~' || substr(sha1(url), 1, 4) AS family FROM n")
+def _store_tree(spark, sf):
+    return _store(spark, sf).tree().where("size > 0").select(F.regexp_extract("path", r"family=([^/]+)/", 1).alias("family")).distinct()

@@ -195,6 +195,10 @@ class Store:
         state = self._snapshot(date)
         return sorted((p, e["sha"]) for t in state["manifests"] for p, e in self._entries(state, t).items())
 
+    def snapshot_csv(self, date: str) -> str:
+        """A snapshot as the text of a ``path,sha`` file, for tools that read that form."""
+        return csvio.encode_rows([{"path": p, "sha": sha} for p, sha in self.snapshot_files(date)], ["path", "sha"])
+
     def _snapshot(self, date: str) -> dict:
         text = self.files.read(f"_snapshots/{_date(date)}.json")
         if text is None:
