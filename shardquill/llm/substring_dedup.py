@@ -155,7 +155,7 @@ def _stretches(hit: np.ndarray, need: int, length: int) -> tuple[np.ndarray, np.
 
 
 def compare(a: np.ndarray, b: np.ndarray, anchors: np.ndarray, threshold: float = THRESHOLD, length: int = LENGTH) -> tuple[list, list, np.ndarray]:
-    """Spans of near-duplicate tokens in ``a`` and ``b``, and for each anchor 0 (no match), 1 (near) or 2 (equal).
+    """Spans of near-duplicate tokens in ``a`` and ``b``, and for each anchor 1 (a match) or 0.
 
     An anchor (c, lo, hi in b; c, lo, hi in a) says that the sequences starting in lo..hi share the root at c. All
     anchors with one shift are read off the same comparison place by place; those that it does not satisfy are
@@ -179,9 +179,10 @@ def compare(a: np.ndarray, b: np.ndarray, anchors: np.ndarray, threshold: float
         some = np.searchsorted(good, hi, "right") > np.searchsorted(good, lo, "left")
         sums = np.concatenate([[0], np.cumsum(equal)])
         lo, end = np.clip(lo, 0, len(equal)), np.clip(hi + length, 0, len(equal))
-        whole = (sums[end] - sums[lo] == end - lo) & (end - lo >= length)
-        status[at] = np.where(whole, 2, np.where(some, 1, 0))
-    for i in np.flatnonzero(status == 0):
+        # of a window with words put in or left out, at least half of what must agree does so on one side of them
+        status[at] = np.where(some, 1, np.where(sums[end] - sums[lo] >= (need - WORDS) // 2, -1, 0))
+    for i in np.flatnonzero(status < 0):
+        status[i] = 0
         _, blo, bhi, _, alo, ahi = anchors[i].tolist()
         alo2, blo2 = max(0, alo - SLACK), max(0, blo - SLACK)
         _, in_a = _stretches(np.isin(a[alo : ahi + length], b[blo2 : bhi + length + SLACK]), need, length)
@@ -209,7 +210,7 @@ _FOUND = "kind int, doc_id bigint, other bigint, key bigint, c int, lo int, hi i
 
 
 def _compared(pairs: DataFrame, threshold: float) -> DataFrame:
-    """kind -1: a span lo..hi of doc_id that ``other`` repeats; kind 0 to 2: what became of an anchor of doc_id."""
+    """kind -1: a span lo..hi of doc_id that ``other`` repeats; kind 0: an anchor of doc_id that matched nothing."""
     pairs = pairs.select("p_doc", "doc_id", "a", "b", "anchors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +223,8 @@ def _compared(pairs: DataFrame, threshold: float) -> DataFrame:
                 cols = [rows.field(k).to_numpy() for k in range(7)]
                 spans_a, spans_b, status = compare(a, b, np.stack(cols[1:], axis=1).astype(np.int64), threshold)
                 out += [(-1, p, d, 0, 0, s, e) for s, e in spans_a] + [(-1, d, p, 0, 0, s, e) for s, e in spans_b]
-                out += [(st, d, p, k, c, lo, hi) for st, k, c, lo, hi in zip(status.tolist(), cols[0].tolist(), cols[1].tolist(), cols[2].tolist(), cols[3].tolist(), strict=True)]
+                left = np.flatnonzero(status == 0)
+                out += [(0, d, p, *x) for x in zip(*(c[left].tolist() for c in cols[:4]), strict=True)]
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["kind", "doc_id", "other", "key", "c", "lo", "hi"])
 
@@ -264,7 +266,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, key: str =
         pairs = pairs.join(held.select(F.col("doc_id").alias("p_doc"), F.col("s").alias("a")), "p_doc").join(held.withColumnRenamed("s", "b"), "doc_id")
         now = scratch.keep(_compared(pairs, threshold))
         found.append(now.where("kind = -1").select("doc_id", "other", "lo", "hi"))
-        far = now.where("kind >= 0").groupBy("key", "doc_id", "c", "lo", "hi").agg(F.max("kind").alias("kind")).where("kind = 0").drop("kind") if among is None else among
+        far = now.where("kind = 0").select("key", "doc_id", "c", "lo", "hi").distinct() if among is None else among
         spans = _all(found).select(F.col("doc_id").alias("s_doc"), F.col("lo").alias("s_lo"), F.col("hi").alias("s_hi")).distinct()
         inside = (F.col("doc_id") == F.col("s_doc")) & (F.col("s_lo") <= F.col("lo")) & (F.col("s_hi") >= F.col("hi") + LENGTH)
         far = far.join(spans, inside, "left_anti")
