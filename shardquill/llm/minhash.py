@@ -38,7 +38,7 @@ K = BANDS * ROWS
 #: The first rank cell is [0, FIRST), each next one doubles the bound.
 FIRST = 2.0**-3
 #: Pivots of a bucket in the second round; each next round has GROWTH times more.
-PIVOTS, GROWTH = 8, 4
+PIVOTS, GROWTH = 32, 16
 #: Bits of each coordinate that are kept to count agreements; standard deviations below the mean that still count.
 BITS, SLACK = 4, 3.5
 CACHE = 200_000
@@ -68,10 +68,12 @@ class Shingler:
         found = _WORD.findall(text.lower()) if text else []
         if len(self.cache) > CACHE:
             self.cache.clear()
-        cache, get, h = self.cache, self.cache.get, xxhash.xxh3_64_intdigest
-        out = np.empty(len(found), dtype=np.uint64)
-        out[:] = [x if (x := get(w)) is not None else cache.setdefault(w, h(w)) for w in found]
-        return out
+        known = list(map(self.cache.get, found))
+        if None in known:
+            for i, x in enumerate(known):
+                if x is None:
+                    known[i] = self.cache.setdefault(found[i], xxhash.xxh3_64_intdigest(found[i]) >> 1)
+        return np.array(known, dtype=np.int64).view(np.uint64)
 
     def shingles(self, text: str | None) -> np.ndarray:
         """One hash for each run of WORDS words; a text of fewer words has one shingle, all its words; none has none."""

@@ -34,7 +34,7 @@ from .minhash import WORDS, Shingler, _all, mix
 #: Words of the shortest passage, and what that is in tokens.
 PASSAGE = 50
 LENGTH = PASSAGE - WORDS + 1
-THRESHOLD, FUNCTIONS = 0.8, 3
+THRESHOLD, FUNCTIONS = 0.8, 2
 #: Tokens from the root on that windows meet by, first and later; LENGTH tokens have FAR_CONTEXT on one side of any root.
 CONTEXT, FAR_CONTEXT = 10, LENGTH // 2
 #: Pivots of a group in the first round by the longer context; each next round has so many times more.
