@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -88,7 +90,7 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
-def map_texts(df: DataFrame, new: list[tuple[str, str, pa.DataType]], make: Callable[[], Callable[[list], list]], text: str = "text", chars: int = 4 << 20) -> DataFrame:
+def map_texts(df: DataFrame, new: list[tuple[str, str, pa.DataType]], make: Callable[[], Callable[[list], list]], text: str = "text", chars: int = 1 << 20) -> DataFrame:
     """``df`` with new columns computed by Python from its text column, in slices of bounded size.
 
     ``make()`` runs once in each task and returns a function from a list of texts to one list for each new column.
@@ -111,10 +113,22 @@ def map_texts(df: DataFrame, new: list[tuple[str, str, pa.DataType]], make: Call
                 cols = fn(part.column(at).to_pylist())
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in out] + arrays, names=header)
+        del fn
+        release()
 
     return map_arrow(df, run, schema)
 
 
+def release() -> None:
+    """Give freed memory back to the system; a worker that stays for other tasks would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Bounds of runs of rows whose texts come to at most ``limit`` bytes; a longer text runs alone."""
     lo, total = 0, 0

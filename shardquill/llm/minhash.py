@@ -197,7 +197,7 @@ def signatures(docs: DataFrame, weighting: str = "set", text: str = "text") -> D
 
         return run
 
-    whole = map_texts(docs, [("n", "int", pa.int32()), ("fa", "bigint", pa.int64()), ("fb", "bigint", pa.int64()), ("bands", "array<bigint>", pa.list_(pa.int64())), ("planes", "array<bigint>", pa.list_(pa.int64()))], make, text=text)
+    whole = map_texts(docs, [("n", "int", pa.int32()), ("fa", "bigint", pa.int64()), ("fb", "bigint", pa.int64()), ("bands", "array<bigint>", pa.list_(pa.int64())), ("planes", "array<bigint>", pa.list_(pa.int64()))], make, text=text, chars=4 << 20)
     return whole.drop(text)
 
 
