@@ -1,20 +1,17 @@
-"""Passages that repeat across documents, by compact windows over token min-hashes.
-
-Tokens are hashes of five-word shingles. Under one hash function all sequences of LENGTH tokens that share their smallest
-token, the root of the Cartesian tree over them, form a compact window (root, first start, last start). A text of n
-tokens has about 2n/LENGTH of them a function, whatever it repeats. Because sequences of one fixed length suffice (a
-longer passage holds shorter ones that are as similar), roots are found as sliding minima, the trees' roots for all
-starts at once, rather than by building the trees. FUNCTIONS hash functions are used.
-
-Windows of different documents meet by their root and the CONTEXT tokens that begin or end at it. Near-duplicate
-sequences differ in a stretch of tokens at most, so one of the two contexts is equal unless the difference is next to
-the root; equal passages always meet. Windows that meet are compared with the first of them, never all with all, on the
-documents' token sequences aligned at the root: sequences of LENGTH tokens are near duplicates if their Jaccard
-similarity is at least THRESHOLD. Windows that no passage found so far covers go on: to a second pivot, then to groups
-by a longer context (FAR_CONTEXT: of two equal passages one side of the root has as much), which parts those that share
-no more than a phrase, and there to more pivots in each round, as long as a group's documents are in different
-components: so every link of a group that joins components is found, and a passage whose documents are in one component
-already is reported where some pivot matched it.
+"""Passages that repeat across documents, by compact windows over token min-hashes, met by key and compared in full.
+
+Tokens are hashes of five-word shingles. Two sequences of LENGTH tokens with a Jaccard similarity of THRESHOLD differ in
+one place at most besides their ends, as one changed word changes five tokens; so they share a run of at least RUN equal
+tokens. Of all GRAM-token pieces of a run the one with the smallest hash is its root: all runs of RUN tokens that share a
+root form a compact window, and roots are found as sliding minima. Equal runs have equal roots. So windows that meet by
+their root's piece of text hold all near-duplicate sequences, with none left to chance.
+
+Windows of one key are first compared with the first of them, on the documents' token sequences aligned at the root,
+which settles exact copies. Every key of which a window is not covered by a found passage, or whose documents are in
+different components, is then compared in full, all windows with all, except pairs of covered windows in one component:
+on the AROUND tokens around the root, as sets up to a shift by one (more cannot pass the threshold). In large
+groups only pairs that share one of their rarest tokens are looked at: of n tokens around a root two windows must share
+``need``, so one of the n - need + 1 rarest of each. That rules out nothing that passes. Keys with over BLOCK windows are split into pairs of blocks.
 """
 
 from __future__ import annotations
@@ -24,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +32,14 @@ from .minhash import WORDS, Shingler, _all, mix
 #: Words of the shortest passage, and what that is in tokens.
 PASSAGE = 50
 LENGTH = PASSAGE - WORDS + 1
-THRESHOLD, FUNCTIONS = 0.8, 2
-#: Tokens from the root on that windows meet by, first and later; LENGTH tokens have FAR_CONTEXT on one side of any root.
-CONTEXT, FAR_CONTEXT = 10, LENGTH // 2
-#: Pivots of a group in the first round by the longer context; each next round has so many times more.
-PIVOTS = 4
+THRESHOLD = 0.8
+#: Tokens of a root's piece of text, and of the equal runs that are certain to share one.
+GRAM, RUN = 10, 21
+#: Tokens before a root that a sequence with it can start at, and tokens around it in all.
+BEFORE = LENGTH - GRAM
+AROUND = BEFORE + LENGTH
+#: Windows of a key that one task compares, those beyond which rare tokens choose the pairs, and pairs compared at a time.
+BLOCK, FEW, PAIRS = 16_384, 64, 1 << 14
 #: Tokens by which one text's passage may have shifted against the other's within a window.
 SLACK = 8
 _BITS = 24
@@ -58,7 +59,7 @@ def roots(hashes: np.ndarray, length: int) -> np.ndarray:
     return (best & low).astype(np.int64)
 
 
-def windows(tokens: np.ndarray, owner: np.ndarray, length: int = LENGTH, functions: int = FUNCTIONS) -> list[tuple[np.ndarray, ...]]:
+def windows(tokens: np.ndarray, owner: np.ndarray, length: int = LENGTH, functions: int = 2) -> list[tuple[np.ndarray, ...]]:
     """(owner, root, first start, last start) of all compact windows of several texts, laid end to end, by function."""
     if len(tokens) < length:
         return []
@@ -75,24 +76,21 @@ def windows(tokens: np.ndarray, owner: np.ndarray, length: int = LENGTH, functio
     return out
 
 
-def keyed(tokens: np.ndarray, owner: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray, ...]:
-    """(owner, key, root, first start, last start): each window under its context after the root and the one before it."""
+def keyed(tokens: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(owner, key, root) of all roots of several texts, laid end to end; texts of under LENGTH tokens have none."""
     if len(tokens) < LENGTH:
-        return (np.zeros(0, dtype=np.int64),) * 5
-    run = np.zeros(len(tokens) - context + 1, dtype=np.uint64)
-    for k in range(context):
-        run = mix(run * np.uint64(0x9E3779B97F4A7C15) + tokens[k : len(tokens) - context + 1 + k])
-    out = []
-    for own, root, first, last in windows(tokens, owner):
-        for side, start in ((1, root), (2, root - context + 1)):
-            ok = (start >= 0) & (start + context <= len(tokens))
-            ok[ok] = (owner[start[ok]] == own[ok]) & (owner[start[ok] + context - 1] == own[ok])
-            out.append((own[ok], mix(run[start[ok]] + np.uint64(side)).view(np.int64), root[ok], first[ok], last[ok]))
-    return tuple(np.concatenate([x[i] for x in out]) for i in range(5))
+        return (np.zeros(0, dtype=np.int64),) * 3
+    piece = np.zeros(len(tokens) - GRAM + 1, dtype=np.uint64)
+    for k in range(GRAM):
+        piece = mix(piece * np.uint64(0x9E3779B97F4A7C15) + tokens[k : len(tokens) - GRAM + 1 + k])
+    root = roots(piece, RUN - GRAM + 1)
+    root = np.unique(root[owner[: len(root)] == owner[RUN - 1 :]])
+    root = root[np.bincount(owner)[owner[root]] >= LENGTH]
+    return owner[root], piece[root].view(np.int64), root
 
 
 def _windows(texts: DataFrame) -> DataFrame:
-    """(doc_id, key, c, lo, hi): windows of each text, in token places of the text."""
+    """(doc_id, key, c, lo, hi): roots of each text, and the first and last start of sequences that hold them, in token places of the text."""
     fields = ["doc_id", "key", "c", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +102,10 @@ def _windows(texts: DataFrame) -> DataFrame:
                 tokens = [shingler.shingles(t) for t in part.column(1).to_pylist()]
                 sizes = np.array([len(t) for t in tokens])
                 at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                owner, key, c, lo, hi = keyed(np.concatenate(tokens), np.repeat(np.arange(len(tokens)), sizes))
-                base = at[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(key), *(pa.array((x - base).astype(np.int32)) for x in (c, lo, hi))], names=fields)
+                owner, key, c = keyed(np.concatenate(tokens), np.repeat(np.arange(len(tokens)), sizes))
+                c = c - at[owner]
+                lo, hi = np.maximum(c - BEFORE, 0), np.minimum(c, sizes[owner] - LENGTH)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(key), *(pa.array(x.astype(np.int32)) for x in (c, lo, hi))], names=fields)
 
     return map_arrow(texts, run, "doc_id bigint, key bigint, c int, lo int, hi int")
 
@@ -116,14 +115,15 @@ _MEMBERS = "key bigint, doc_id bigint, c int, lo int, hi int, p_doc bigint, p_c
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """Windows of other documents beside the first window of their key; keys of one document give nothing.
+    """All windows of keys that several documents have, beside the first window of their key.
 
-    Rows are dealt by key, sorted and streamed; a task holds one batch and one window at a time. A document has many
-    keys, so even a passage that all documents share is but a small part of all rows.
+    Rows are dealt by key, sorted and streamed; a task holds one batch and one document's windows of a key at a time. A
+    document has many keys, so even a passage that all documents share is but a small part of all rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[np.ndarray] | None = None  # rows of the last key that may have to be told; only its first if they were
+        told = False
         for batch in batches:
             if not len(batch):
                 continue
@@ -134,9 +134,15 @@ def _members(rows: DataFrame) -> DataFrame:
             new = np.ones(len(key), dtype=bool)
             new[1:] = key[1:] != key[:-1]
             pivot = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-            other = np.flatnonzero(doc != doc[pivot])
-            yield pa.RecordBatch.from_arrays([pa.array(c[other]) for c in cols] + [pa.array(c[pivot[other]]) for c in cols[1:]], names=_MEMBER)
-            held = [c[pivot[-1] : pivot[-1] + 1] for c in cols]
+            group = np.cumsum(new) - 1
+            several = np.bincount(group, weights=doc != doc[pivot]) > 0
+            several[0] |= told
+            ok = several[group]
+            ok[0] &= not told
+            tell = np.flatnonzero(ok)
+            yield pa.RecordBatch.from_arrays([pa.array(c[tell]) for c in cols] + [pa.array(c[pivot[tell]]) for c in cols[1:]], names=_MEMBER)
+            told = bool(several[-1])
+            held = [c[pivot[-1] : pivot[-1] + 1] if told else c[pivot[-1] :] for c in cols]
 
     dealt = rows.select("key", "doc_id", "c", "lo", "hi").repartition("key").sortWithinPartitions("key", "doc_id", "c")
     return map_arrow(dealt, run, _MEMBERS)
@@ -206,11 +212,16 @@ def _union(spans: set) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-_FOUND = "kind int, doc_id bigint, other bigint, key bigint, c int, lo int, hi int"
+_FOUND = "doc_id bigint, other bigint, lo int, hi int"
+
+
+def _told(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "other", "lo", "hi"])
 
 
 def _compared(pairs: DataFrame, threshold: float) -> DataFrame:
-    """kind -1: a span lo..hi of doc_id that ``other`` repeats; kind 0: an anchor of doc_id that matched nothing."""
+    """Spans lo..hi of doc_id that ``other`` repeats."""
     pairs = pairs.select("p_doc", "doc_id", "a", "b", "anchors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,17 +231,173 @@ def _compared(pairs: DataFrame, threshold: float) -> DataFrame:
                 p, d = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 a, b = batch.column(2)[i].values.to_numpy(), batch.column(3)[i].values.to_numpy()
                 rows = batch.column(4)[i].values
-                cols = [rows.field(k).to_numpy() for k in range(7)]
-                spans_a, spans_b, status = compare(a, b, np.stack(cols[1:], axis=1).astype(np.int64), threshold)
-                out += [(-1, p, d, 0, 0, s, e) for s, e in spans_a] + [(-1, d, p, 0, 0, s, e) for s, e in spans_b]
-                left = np.flatnonzero(status == 0)
-                out += [(0, d, p, *x) for x in zip(*(c[left].tolist() for c in cols[:4]), strict=True)]
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["kind", "doc_id", "other", "key", "c", "lo", "hi"])
+                spans_a, spans_b, _ = compare(a, b, np.stack([rows.field(k).to_numpy() for k in range(6)], axis=1).astype(np.int64), threshold)
+                out += [(p, d, s, e) for s, e in spans_a] + [(d, p, s, e) for s, e in spans_b]
+            yield _told(out)
 
     return map_arrow(pairs, run, _FOUND)
 
 
+def near(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows of ``a`` and ``b`` (tokens around a root; below -1 where the text has none) hold near-duplicate sequences, and the spans of these in either."""
+    need = math.ceil(2 * LENGTH * threshold / (1 + threshold) - 1e-9)
+    equal, after, before = a == b, a[:, 1:] == b[:, :-1], a[:, :-1] == b[:, 1:]
+    hits = [equal.copy(), equal]
+    hits[0][:, 1:] |= after
+    hits[0][:, :-1] |= before
+    hits[1][:, :-1] |= after
+    hits[1][:, 1:] |= before
+    some = np.flatnonzero((hits[0].sum(axis=1) >= need) & (hits[1].sum(axis=1) >= need))
+    good = []
+    for x, h in zip((a, b), hits, strict=True):
+        sums = np.zeros((len(some), AROUND + 1), dtype=np.int16)
+        np.cumsum(h[some], axis=1, out=sums[:, 1:])
+        inside = np.zeros((len(some), AROUND + 1), dtype=np.int16)
+        np.cumsum(x[some] >= -(1 << 31), axis=1, out=inside[:, 1:])
+        good.append((sums[:, LENGTH:] - sums[:, :-LENGTH] >= need) & (inside[:, LENGTH:] - inside[:, :-LENGTH] == LENGTH))
+    ok = good[0].any(axis=1) & good[1].any(axis=1)
+    some, spans = some[ok], []
+    for h, g in zip(hits, good, strict=True):
+        h, g, at = h[some], g[ok], np.arange(len(some))
+        lo, hi = g.argmax(axis=1), g.shape[1] - 1 - g[:, ::-1].argmax(axis=1) + LENGTH
+        while len(off := at[~h[at, lo]]):
+            lo[off] += 1
+        while len(off := at[~h[at, hi - 1]]):
+            hi[off] -= 1
+        spans.append(np.stack([lo, hi], axis=1))
+    return some, spans[0], spans[1]
+
+
+def candidates(tokens: np.ndarray, bounds: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j) of rows of one key (those between two bounds) that may share ``need`` tokens; of up to FEW rows all pairs."""
+    sizes = np.diff(bounds)
+    for m in np.unique(sizes[(sizes > 1) & (sizes <= FEW)]):
+        i, j = np.triu_indices(m, 1)
+        starts = bounds[:-1][sizes == m]
+        for k in range(0, len(starts), max(1, PAIRS // len(i))):
+            at = starts[k : k + max(1, PAIRS // len(i)), None]
+            yield (at + i).ravel(), (at + j).ravel()
+    for k in np.flatnonzero(sizes > FEW):
+        for i, j in _sharing(tokens[bounds[k] : bounds[k + 1]], need):
+            yield i + bounds[k], j + bounds[k]
+
+
+def _sharing(tokens: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that share one of their rarest tokens, or all pairs if that is less."""
+    m = len(tokens)
+    row, place = np.nonzero(tokens >= -(1 << 31))
+    places = np.bincount(row, minlength=m)  # what repeats within a row may stand for several of the shared places
+    code = np.unique(((tokens[row, place] + (1 << 31)) << 24) | row)
+    value, row = code >> 24, code & ((1 << 24) - 1)
+    _, which, count = np.unique(value, return_inverse=True, return_counts=True)
+    order = np.lexsort((which, count[which], row))
+    row, which = row[order], which[order]
+    sizes = np.bincount(row, minlength=m)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    rare = nth <= places[row] - need
+    row, which = row[rare], which[rare]
+    order = np.lexsort((row, which))
+    row, which = row[order], which[order]
+    cut = np.flatnonzero(np.diff(which)) + 1
+    lists = [x for x in np.split(row, cut) if len(x) > 1]
+    if sum(len(x) * len(x) for x in lists) > m * m:
+        for i in range(m - 1):
+            yield np.full(m - 1 - i, i), np.arange(i + 1, m)
+        return
+    held, n = [], 0
+    for x in lists:
+        for k in range(0, len(x), 256):
+            i, j = np.nonzero(np.arange(k, min(k + 256, len(x)))[:, None] < np.arange(len(x)))
+            held.append(x[i + k] * m + x[j])
+            n += len(i)
+            if n > 1 << 22:
+                seen = np.unique(np.concatenate(held))
+                yield seen // m, seen % m
+                held, n = [], 0
+    if held:
+        seen = np.unique(np.concatenate(held))
+        yield seen // m, seen % m
+
+
+def within(tokens: np.ndarray, doc: np.ndarray, component: np.ndarray, covered: np.ndarray, part: np.ndarray, split: np.ndarray, bounds: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, ...]:
+    """(row, the first row that it is linked to, start, end): windows of each key compared, where ``split`` only those of one part with the other's."""
+    m = len(tokens)
+    need = math.ceil(2 * LENGTH * threshold / (1 + threshold) - 1e-9)
+    lo, hi, label = np.full(m, AROUND), np.zeros(m, dtype=np.int64), np.arange(m)
+    links: list[np.ndarray] = []
+
+    def look(i: np.ndarray, j: np.ndarray) -> None:
+        some, in_i, in_j = near(tokens[i], tokens[j], threshold)
+        for at, span in ((i[some], in_i), (j[some], in_j)):
+            np.minimum.at(lo, at, span[:, 0])
+            np.maximum.at(hi, at, span[:, 1])
+        links.append(np.stack([i[some], j[some]]))
+
+    wait: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for i, j in candidates(tokens, bounds, need):
+        ok = (doc[i] != doc[j]) & ~(covered[i] & covered[j] & (component[i] == component[j])) & (~split[i] | (part[i] != part[j]))
+        wait.append((i[ok], j[ok]))
+        n += int(ok.sum())
+        if n >= PAIRS:
+            i, j = (np.concatenate(x) for x in zip(*wait, strict=True))
+            for k in range(0, n, PAIRS):
+                look(i[k : k + PAIRS], j[k : k + PAIRS])
+            wait, n = [], 0
+    if n:
+        look(*(np.concatenate(x) for x in zip(*wait, strict=True)))
+    if links:
+        i, j = np.concatenate(links, axis=1)
+        while True:
+            before = label.copy()
+            np.minimum.at(label, i, label[j])
+            np.minimum.at(label, j, label[i])
+            label = label[label]
+            if (label == before).all():
+                break
+    found = np.flatnonzero(hi)
+    return found, label[found], lo[found], hi[found]
+
+
+def _full(rows: DataFrame, threshold: float) -> DataFrame:
+    """Spans from comparing all windows of each tile: rows (key, x, y, part, doc_id, component, covered, c, s, first)."""
+    names = ["key", "x", "y", "part", "doc_id", "component", "covered", "c", "first", "s"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of a tile that goes on in the next batch
+
+        def tiles(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts).combine_chunks()
+            key, x, y, part, doc, component, covered, c, first = (t.column(k).to_numpy() for k in range(9))
+            bounds = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, [len(key)]])
+            tokens = np.repeat(-(1 << 40) - np.arange(len(key), dtype=np.int64)[:, None], AROUND, axis=1)
+            s = t.column(9).combine_chunks()
+            sizes = pc.list_value_length(s).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + (first - c + BEFORE)[row]
+            tokens[row, place] = pc.list_flatten(s).to_numpy(zero_copy_only=False)
+            at, root, lo, hi = within(tokens, doc, component, covered.astype(bool), part, x != y, bounds, threshold)
+            shift = c[at] - BEFORE
+            return _told(list(zip(doc[at].tolist(), doc[root].tolist(), (lo + shift).tolist(), (hi + shift).tolist(), strict=True)))
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, x, y = (batch.column(k).to_numpy() for k in range(3))
+            cut = np.flatnonzero((key != key[-1]) | (x != x[-1]) | (y != y[-1]))
+            start = int(cut[-1]) + 1 if len(cut) else 0
+            last = held and tuple(held[-1].column(k)[-1].as_py() for k in range(3))
+            if start or last and last != (key[0], x[0], y[0]):
+                yield tiles([*held, batch.slice(0, start)])
+                held = []
+            held.append(batch.slice(start))
+        if held:
+            yield tiles(held)
+
+    dealt = rows.select(*names).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return map_arrow(dealt, run, _FOUND)
+
+
 def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start_word, end_word, n_words, class_id, n_links): passages of 50 words or more that other documents repeat.
 
@@ -258,38 +425,13 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, key: str =
 
     held = map_texts(texts.join(sized(ids), "doc_id", "left_semi"), [("s", "array<int>", pa.list_(pa.int32()))], make).drop("text")
     held = scratch.keep(held)
-    found = []
-
-    def compared(members: DataFrame, among: DataFrame | None = None) -> DataFrame:
-        """Verify the members against their pivots: keep the spans, return what of them (or ``among``) no span covers, by key."""
-        pairs = members.groupBy("p_doc", "doc_id").agg(F.collect_set(F.struct("key", "c", "lo", "hi", "p_c", "p_lo", "p_hi")).alias("anchors"))
-        pairs = pairs.join(held.select(F.col("doc_id").alias("p_doc"), F.col("s").alias("a")), "p_doc").join(held.withColumnRenamed("s", "b"), "doc_id")
-        now = scratch.keep(_compared(pairs, threshold))
-        found.append(now.where("kind = -1").select("doc_id", "other", "lo", "hi"))
-        far = now.where("kind = 0").select("key", "doc_id", "c", "lo", "hi").distinct() if among is None else among
-        spans = _all(found).select(F.col("doc_id").alias("s_doc"), F.col("lo").alias("s_lo"), F.col("hi").alias("s_hi")).distinct()
-        inside = (F.col("doc_id") == F.col("s_doc")) & (F.col("s_lo") <= F.col("lo")) & (F.col("s_hi") >= F.col("hi") + LENGTH)
-        far = far.join(spans, inside, "left_anti")
-        several = far.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key")
-        return scratch.keep(far.join(several, "key", "left_semi"))
-
-    left = compared(members)
-    left = compared(scratch.keep(_pivots(left, 1).select(*_MEMBER)))
-    left = scratch.keep(_longer(left, held))
-    n = PIVOTS
-    while True:
-        classes = components(_all(found).select(F.col("doc_id").alias("a"), F.col("other").alias("b")), scratch)
-        placed = left.join(classes, F.col("doc_id") == F.col("id"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("id")
-        apart = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-        left = scratch.keep(placed.join(apart, "key", "left_semi"))
-        members = scratch.keep(_pivots(left, n).where("component <> p_component").select(*_MEMBER))
-        if members.isEmpty():
-            break
-        used = left.join(members.select("key", F.col("p_doc").alias("doc_id"), F.col("p_c").alias("c")).distinct(), ["key", "doc_id", "c"], "left_semi").select("key", "doc_id", "c")
-        left = scratch.keep(compared(members, left.drop("component")).join(used, ["key", "doc_id", "c"], "left_anti"))
-        n *= PIVOTS
+    pairs = members.where("doc_id <> p_doc").groupBy("p_doc", "doc_id").agg(F.collect_set(F.struct("c", "lo", "hi", "p_c", "p_lo", "p_hi")).alias("anchors"))
+    pairs = pairs.join(held.select(F.col("doc_id").alias("p_doc"), F.col("s").alias("a")), "p_doc").join(held.withColumnRenamed("s", "b"), "doc_id")
+    found = [scratch.keep(_compared(pairs, threshold))]
+    found.append(scratch.keep(_full(_open(members, found[0], held, scratch), threshold)))
     spans = _all(found)
-    pairs = spans.select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
+    linked = spans.where("doc_id <> other").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
+    pairs = scratch.keep(linked.union(linked.select("b", "a")).distinct())
     classes = components(pairs, scratch)
     n_links = pairs.groupBy("a").agg(F.count("*").alias("n_links"))
     distinct = spans.select("doc_id", "lo", "hi").distinct()
@@ -302,20 +444,20 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, key: str =
     return out.select("doc_id", F.col("lo").alias("start_word"), end.alias("end_word"), (end - F.col("lo")).alias("n_words"), F.col("component").alias("class_id"), "n_links")
 
 
-def _pivots(left: DataFrame, n: int) -> DataFrame:
-    """Members for the next round: the first ``n`` windows of a key, and its windows of other documents."""
-    turn = F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "c"))
-    names = {"doc_id": "doc", "component": "component", "c": "c", "lo": "lo", "hi": "hi"}
-    pivots = left.withColumn("turn", turn).where(F.col("turn") <= n).select("key", *[F.col(x).alias(f"p_{y}") for x, y in names.items() if x in left.columns])
-    return left.join(pivots, "key").where("doc_id <> p_doc")
-
-
-def _longer(left: DataFrame, held: DataFrame) -> DataFrame:
-    """``left`` under keys of FAR_CONTEXT tokens after or before the root, where the text has as many."""
-    rows = left.select("doc_id", "c", "lo", "hi").distinct().join(held, "doc_id")
-    context = F.lit(FAR_CONTEXT)
-    after = F.when(F.col("c") + context <= F.size("s"), F.xxhash64(F.lit(1), F.slice("s", F.col("c") + 1, context)))
-    before = F.when(F.col("c") + 1 >= context, F.xxhash64(F.lit(2), F.slice("s", F.greatest(F.col("c") - context + 2, F.lit(1)), context)))
-    both = rows.select("doc_id", "c", "lo", "hi", F.explode(F.array(after, before)).alias("key")).where("key is not null")
-    several = both.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key")
-    return both.join(several, "key", "left_semi")
+def _open(members: DataFrame, spans: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
+    """Windows of keys that are not settled by ``spans``, with the tokens around their roots, dealt in tiles (x, y) of blocks."""
+    classes = components(spans.select(F.col("doc_id").alias("a"), F.col("other").alias("b")), scratch)
+    ranges = spans.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    rows = members.select("key", "doc_id", "c", "lo", "hi").join(ranges, "doc_id", "left")
+    inside = F.exists("spans", lambda x: (x["lo"] <= F.col("lo")) & (x["hi"] >= F.col("hi") + LENGTH))
+    rows = rows.withColumn("covered", F.coalesce(inside, F.lit(False)).cast("int")).drop("spans")
+    rows = rows.join(classes, F.col("doc_id") == F.col("id"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("id")
+    rows = scratch.keep(rows)
+    keys = rows.groupBy("key").agg(F.min("covered").alias("all"), F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"))
+    keys = scratch.keep(keys.where("all = 0 or a <> b").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    first = F.greatest(F.col("c") - BEFORE, F.lit(0))
+    around = rows.join(keys, "key").join(held, "doc_id").withColumn("first", first).withColumn("s", F.slice("s", F.col("first") + 1, F.col("c") + LENGTH - F.col("first")))
+    around = around.withColumn("block", F.pmod(F.xxhash64("doc_id", "c"), F.col("blocks")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, "block").alias("x"), F.greatest(b, "block").alias("y")))
+    dealt = around.select("*", F.explode(tiles).alias("t")).select("*", "t.x", "t.y")
+    return dealt.withColumn("part", (F.col("block") == F.col("x")).cast("int"))

@@ -63,3 +63,23 @@ def test_planted_passages(spark):
 
 def test_empty(spark):
     assert spans(spark, []) == {}
+
+
+def test_family_of_near_copies(spark):
+    """Every token that agrees in a near-duplicate sequence of some other copy is reported, though all are linked early."""
+    rng = random.Random(1)
+    base = text(rng, 250, "w")
+    copies = [[f"x{rng.randrange(10**6)}" if rng.random() < 0.05 else w for w in base] for _ in range(40)]
+    tokens = np.array([sd.Shingler().shingles(" ".join(c)) for c in copies])
+    got = spans(spark, [(i, " ".join(c)) for i, c in enumerate(copies)])
+    for i in range(40):
+        true = np.zeros(tokens.shape[1], dtype=bool)
+        for j in range(40):
+            equal = tokens[i] == tokens[j]
+            for s in range(len(equal) - sd.LENGTH + 1):
+                if i != j and equal[s : s + sd.LENGTH].sum() >= 41:
+                    true[s : s + sd.LENGTH] |= equal[s : s + sd.LENGTH]
+        said = np.zeros_like(true)
+        for start, end, _, _ in got.get(i, []):
+            said[start : end - 4] = True
+        assert not (true & ~said).any()
