@@ -10,8 +10,9 @@ Windows of one key are first compared with the first of them, on the documents'
 which settles exact copies. Every key of which a window is not covered by a found passage, or whose documents are in
 different components, is then compared in full, all windows with all, except pairs of covered windows in one component:
 on the AROUND tokens around the root, as sets up to a shift by one (more cannot pass the threshold). In large
-groups only pairs that share one of their rarest tokens are looked at: of n tokens around a root two windows must share
-``need``, so one of the n - need + 1 rarest of each. That rules out nothing that passes. Keys with over BLOCK windows are split into pairs of blocks.
+groups not all pairs are looked at, with nothing ruled out that passes: of n tokens around a root two windows must share
+``need``, so one of the n - need + 1 rarest of each; and a pair of one component tells nothing new unless it shares a
+token that no found passage covers in one of the two. Keys with over BLOCK windows are split into pairs of blocks.
 """
 
 from __future__ import annotations
@@ -268,7 +269,7 @@ def near(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple[np
     return some, spans[0], spans[1]
 
 
-def candidates(tokens: np.ndarray, bounds: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def candidates(tokens: np.ndarray, free: np.ndarray, bounds: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i < j) of rows of one key (those between two bounds) that may share ``need`` tokens; of up to FEW rows all pairs."""
     sizes = np.diff(bounds)
     for m in np.unique(sizes[(sizes > 1) & (sizes <= FEW)]):
@@ -278,39 +279,49 @@ def candidates(tokens: np.ndarray, bounds: np.ndarray, need: int) -> Iterator[tu
             at = starts[k : k + max(1, PAIRS // len(i)), None]
             yield (at + i).ravel(), (at + j).ravel()
     for k in np.flatnonzero(sizes > FEW):
-        for i, j in _sharing(tokens[bounds[k] : bounds[k + 1]], need):
+        for i, j in _sharing(tokens[bounds[k] : bounds[k + 1]], free[bounds[k] : bounds[k + 1]], need):
             yield i + bounds[k], j + bounds[k]
 
 
-def _sharing(tokens: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows that share one of their rarest tokens, or all pairs if that is less."""
+def _sharing(tokens: np.ndarray, free: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that share one of their rarest tokens, or a token that is free in either, or all pairs: whichever are fewest."""
     m = len(tokens)
     row, place = np.nonzero(tokens >= -(1 << 31))
     places = np.bincount(row, minlength=m)  # what repeats within a row may stand for several of the shared places
-    code = np.unique(((tokens[row, place] + (1 << 31)) << 24) | row)
+    code, inverse = np.unique(((tokens[row, place] + (1 << 31)) << 24) | row, return_inverse=True)
+    free = np.bincount(inverse, weights=free[row, place], minlength=len(code)) > 0
     value, row = code >> 24, code & ((1 << 24) - 1)
     _, which, count = np.unique(value, return_inverse=True, return_counts=True)
     order = np.lexsort((which, count[which], row))
-    row, which = row[order], which[order]
     sizes = np.bincount(row, minlength=m)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    rare = nth <= places[row] - need
-    row, which = row[rare], which[rare]
-    order = np.lexsort((row, which))
-    row, which = row[order], which[order]
-    cut = np.flatnonzero(np.diff(which)) + 1
-    lists = [x for x in np.split(row, cut) if len(x) > 1]
-    if sum(len(x) * len(x) for x in lists) > m * m:
+    rare = np.zeros(len(row), dtype=bool)
+    rare[order] = nth <= places[row[order]] - need
+    of, open_, all_ = (np.bincount(which, weights=w, minlength=len(count)) for w in (rare, free, None))
+    by_rare, by_free = float((of * of).sum()), float((open_ * all_).sum())
+    if min(by_rare, by_free) > m * m / 2:
         for i in range(m - 1):
             yield np.full(m - 1 - i, i), np.arange(i + 1, m)
         return
+    if by_rare <= by_free:
+        take, left = rare, np.ones(len(row), dtype=bool)
+    else:
+        take, left = (open_ > 0)[which], free
+    row, which, left = row[take], which[take], left[take]  # code is in order of values and rows
+    cuts = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), len(row)]
     held, n = [], 0
-    for x in lists:
-        for k in range(0, len(x), 256):
-            i, j = np.nonzero(np.arange(k, min(k + 256, len(x)))[:, None] < np.arange(len(x)))
-            held.append(x[i + k] * m + x[j])
-            n += len(i)
-            if n > 1 << 22:
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if hi - lo < 2:
+            continue
+        x = row[lo:hi]
+        at = x[left[lo:hi]]
+        step = max(1, PAIRS * 16 // len(x))
+        for k in range(0, len(at), step):
+            i, j = np.repeat(at[k : k + step], len(x)), np.tile(x, len(at[k : k + step]))
+            ok = i != j
+            held.append(np.minimum(i, j)[ok] * m + np.maximum(i, j)[ok])
+            n += len(held[-1])
+            if n > PAIRS * 64:
                 seen = np.unique(np.concatenate(held))
                 yield seen // m, seen % m
                 held, n = [], 0
@@ -319,23 +330,33 @@ def _sharing(tokens: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.nda
         yield seen // m, seen % m
 
 
-def within(tokens: np.ndarray, doc: np.ndarray, component: np.ndarray, covered: np.ndarray, part: np.ndarray, split: np.ndarray, bounds: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, ...]:
+def within(tokens: np.ndarray, doc: np.ndarray, component: np.ndarray, free: np.ndarray, part: np.ndarray, split: np.ndarray, bounds: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, ...]:
     """(row, the first row that it is linked to, start, end): windows of each key compared, where ``split`` only those of one part with the other's."""
     m = len(tokens)
     need = math.ceil(2 * LENGTH * threshold / (1 + threshold) - 1e-9)
     lo, hi, label = np.full(m, AROUND), np.zeros(m, dtype=np.int64), np.arange(m)
-    links: list[np.ndarray] = []
+    covered = ~free.any(axis=1)
+    for k in np.flatnonzero(np.diff(bounds) > FEW):
+        at = slice(bounds[k], bounds[k + 1])
+        names, count = np.unique(component[at], return_counts=True)
+        free[at][component[at] != names[count.argmax()]] = True  # a link to another component is news wherever it is
 
     def look(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal label
         some, in_i, in_j = near(tokens[i], tokens[j], threshold)
-        for at, span in ((i[some], in_i), (j[some], in_j)):
+        i, j = i[some], j[some]
+        for at, span in ((i, in_i), (j, in_j)):
             np.minimum.at(lo, at, span[:, 0])
             np.maximum.at(hi, at, span[:, 1])
-        links.append(np.stack([i[some], j[some]]))
+        while len(off := np.flatnonzero(label[i] != label[j])):
+            a, b = label[i[off]], label[j[off]]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label[label] != label).any():
+                label = label[label]
 
     wait: list[tuple[np.ndarray, np.ndarray]] = []
     n = 0
-    for i, j in candidates(tokens, bounds, need):
+    for i, j in candidates(tokens, free, bounds, need):
         ok = (doc[i] != doc[j]) & ~(covered[i] & covered[j] & (component[i] == component[j])) & (~split[i] | (part[i] != part[j]))
         wait.append((i[ok], j[ok]))
         n += int(ok.sum())
@@ -346,37 +367,35 @@ def within(tokens: np.ndarray, doc: np.ndarray, component: np.ndarray, covered:
             wait, n = [], 0
     if n:
         look(*(np.concatenate(x) for x in zip(*wait, strict=True)))
-    if links:
-        i, j = np.concatenate(links, axis=1)
-        while True:
-            before = label.copy()
-            np.minimum.at(label, i, label[j])
-            np.minimum.at(label, j, label[i])
-            label = label[label]
-            if (label == before).all():
-                break
     found = np.flatnonzero(hi)
     return found, label[found], lo[found], hi[found]
 
 
 def _full(rows: DataFrame, threshold: float) -> DataFrame:
-    """Spans from comparing all windows of each tile: rows (key, x, y, part, doc_id, component, covered, c, s, first)."""
-    names = ["key", "x", "y", "part", "doc_id", "component", "covered", "c", "first", "s"]
+    """Spans from comparing all windows of each tile: rows (key, x, y, part, doc_id, component, spans, c, first, s)."""
+    names = ["key", "x", "y", "part", "doc_id", "component", "c", "first", "s", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # of a tile that goes on in the next batch
 
         def tiles(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts).combine_chunks()
-            key, x, y, part, doc, component, covered, c, first = (t.column(k).to_numpy() for k in range(9))
+            key, x, y, part, doc, component, c, first = (t.column(k).to_numpy() for k in range(8))
             bounds = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, [len(key)]])
             tokens = np.repeat(-(1 << 40) - np.arange(len(key), dtype=np.int64)[:, None], AROUND, axis=1)
-            s = t.column(9).combine_chunks()
+            s, spans = (t.column(k).combine_chunks() for k in (8, 9))
             sizes = pc.list_value_length(s).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(sizes)), sizes)
             place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + (first - c + BEFORE)[row]
             tokens[row, place] = pc.list_flatten(s).to_numpy(zero_copy_only=False)
-            at, root, lo, hi = within(tokens, doc, component, covered.astype(bool), part, x != y, bounds, threshold)
+            free = np.zeros((len(key), AROUND + 1), dtype=np.int32)  # of how many found spans a place is part
+            row = np.repeat(np.arange(len(key)), pc.list_value_length(spans).to_numpy(zero_copy_only=False))
+            ends = pc.list_flatten(spans)
+            for field, step in (("lo", 1), ("hi", -1)):
+                place = pc.struct_field(ends, field).to_numpy(zero_copy_only=False).astype(np.int64) - (c - BEFORE)[row]
+                np.add.at(free, (row, np.clip(place, 0, AROUND)), step)
+            free = (np.cumsum(free[:, :-1], axis=1) == 0) & (tokens >= -(1 << 31))
+            at, root, lo, hi = within(tokens, doc, component, free, part, x != y, bounds, threshold)
             shift = c[at] - BEFORE
             return _told(list(zip(doc[at].tolist(), doc[root].tolist(), (lo + shift).tolist(), (hi + shift).tolist(), strict=True)))
 
@@ -403,8 +422,8 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, key: str =
 
     Words are runs of letters and digits in lower case, counted from 0; end_word is the first one after the passage.
     Passages of a document that touch or overlap are one row. class_id is the smallest id among the documents linked
-    through passages, n_links the number of documents that the document was directly found to share passages with; a
-    passage that many share is linked to one of them each. Passages repeated only within one document are not reported;
+    through passages. n_links is not the number of documents that share a passage with the document, only of those that
+    links were kept to: links that join classes, of which a passage that many share has one or a few for each. Passages repeated only within one document are not reported;
     neither are texts under 50 words, null texts and null ids. Of an id with several texts the smallest is taken. An
     empty table gives an empty result. Texts are read whole.
     """
@@ -450,7 +469,9 @@ def _open(members: DataFrame, spans: DataFrame, held: DataFrame, scratch: Scratc
     ranges = spans.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     rows = members.select("key", "doc_id", "c", "lo", "hi").join(ranges, "doc_id", "left")
     inside = F.exists("spans", lambda x: (x["lo"] <= F.col("lo")) & (x["hi"] >= F.col("hi") + LENGTH))
-    rows = rows.withColumn("covered", F.coalesce(inside, F.lit(False)).cast("int")).drop("spans")
+    meet = F.filter("spans", lambda x: (x["lo"] < F.col("c") + LENGTH) & (x["hi"] > F.col("c") - BEFORE))
+    rows = rows.withColumn("covered", F.coalesce(inside, F.lit(False)).cast("int"))
+    rows = rows.withColumn("spans", F.coalesce(meet, F.array().cast("array<struct<lo:int,hi:int>>")))
     rows = rows.join(classes, F.col("doc_id") == F.col("id"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("id")
     rows = scratch.keep(rows)
     keys = rows.groupBy("key").agg(F.min("covered").alias("all"), F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"))

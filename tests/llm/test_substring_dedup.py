@@ -83,3 +83,16 @@ def test_family_of_near_copies(spark):
         for start, end, _, _ in got.get(i, []):
             said[start : end - 4] = True
         assert not (true & ~said).any()
+
+
+def test_near_passage_around_a_common_phrase(spark):
+    """The first documents of a key hold the phrase alone; near passages around it share no longer piece of text."""
+    rng = random.Random(3)
+    passage = text(rng, 50, "p")
+    near = list(passage)
+    near[25] = "changed"
+    rows = [(i, " ".join(text(rng, 40, f"a{i}x") + passage[part : part + 22] + text(rng, 40, f"b{i}x"))) for part in (0, 3, 26, 28) for i in (part, part + 100)]
+    rows = [(n, x[1]) for n, x in enumerate(rows)]
+    rows += [(20, " ".join(text(rng, 60, "c") + passage + text(rng, 60, "d"))), (21, " ".join(text(rng, 60, "e") + near + text(rng, 60, "f")))]
+    got = spans(spark, rows)
+    assert set(got) == {20, 21} and got[20] == got[21] == [(60, 110, 20, 50)]
