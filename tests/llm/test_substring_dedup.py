@@ -96,3 +96,15 @@ def test_near_passage_around_a_common_phrase(spark):
     rows += [(20, " ".join(text(rng, 60, "c") + passage + text(rng, 60, "d"))), (21, " ".join(text(rng, 60, "e") + near + text(rng, 60, "f")))]
     got = spans(spark, rows)
     assert set(got) == {20, 21} and got[20] == got[21] == [(60, 110, 20, 50)]
+
+
+def test_passages_of_pieces_that_their_first_document_has_before(spark):
+    rng = random.Random(4)
+    rows = []
+    for n in range(0, 40, 2):
+        passage = text(rng, 54, f"p{n}x")
+        alone = [w for start in (0, 6, 12) for w in passage[start : start + 42] + text(rng, 60, f"g{n}x{start}x")]
+        rows += [(n, " ".join(alone + passage)), (n + 1, " ".join(text(rng, 70, f"h{n}x") + passage))]
+    got = spans(spark, rows)
+    for n in range(0, 40, 2):
+        assert (306, 360, n, 54) in got[n] and got[n + 1] == [(70, 124, n, 54)]
