@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, map_texts
 
-#: Labelled rows of each class that weights are fitted on (the first by a hash of their id); n-grams and weights kept.
-SAMPLE, GRAMS, WEIGHTS = 10_000, 150_000, 20_000
+#: Labelled rows of each class that weights are fitted on (the first by a hash of their id); weights kept.
+SAMPLE, WEIGHTS = 10_000, 20_000
 #: A feature needs this many toxic rows, and this log odds, to count.
 LEAST_ROWS, LEAST_ODDS = 4, 3.0
 PREFIXES = (4, 5, 6, 7, 8)
@@ -229,7 +229,7 @@ class Scorer:
 
 
 def fit_characters(docs: DataFrame, text: str = "text") -> CharModel:
-    """The character model of all words of all documents: n-gram counts summed in each task, then over all."""
+    """The character model of all words of all documents: n-gram counts summed in each task, then over all; it has all that occur."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
@@ -256,7 +256,7 @@ def fit_characters(docs: DataFrame, text: str = "text") -> CharModel:
         yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["gram", "count"])
 
     found = map_arrow(docs.select(text), count, "gram string, count bigint").groupBy("gram").agg(F.sum("count").alias("count"))
-    return CharModel(dict(map(tuple, found.orderBy(F.desc("count"), "gram").limit(GRAMS).collect())))
+    return CharModel(dict(map(tuple, found.orderBy(F.desc("count"), "gram").collect())))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, text: str = "text", key: str = "doc_id") -> Model:

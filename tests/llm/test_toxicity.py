@@ -86,3 +86,11 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.toxic for r in got) >= 0.93 * len(got)
+
+
+def test_character_model_has_no_cap(spark):
+    """160,000 words of four letters of their own: more n-grams than were once kept."""
+    words = ["".join(chr(0x4E00 + (i // 400**k) % 400) for k in range(2)) + "ab" for i in range(160_000)]
+    rows = [(" ".join(words[k : k + 1000]),) for k in range(0, len(words), 1000)]
+    model = toxicity.fit_characters(spark.createDataFrame(rows, "text string"))
+    assert all(model.counts.get(w) for w in words)
