@@ -44,6 +44,8 @@ _TRIPLE = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
 _HIDDEN = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")
 _MARKS = ".,;:!?\"'()[]{}*"
+#: Those that stand for no letter: at a token's start the others may be its first letter.
+_BEFORE = "".join(c for c in _MARKS if c not in STANDS_FOR)
 
 
 class CharModel:
@@ -134,7 +136,7 @@ class Restorer:
             return known
         if len(self.cache) > CACHE:
             self.cache.clear()
-        bare, last = token.strip(_MARKS), None
+        bare, last = token.lstrip(_BEFORE).rstrip(_MARKS), None
         if not bare.isalpha():
             bare = token
         while bare != last and not bare.isalpha():
@@ -199,7 +201,7 @@ class Scorer:
         get = self.model.weights.get
         out = max(get(f, 0.0) for f in features(word))
         if not out and _DOUBLE.search(word):
-            out = get(_DOUBLE.sub(r"\1", word) + "$", 0.0)
+            out = max(get(_DOUBLE.sub(r"\1", word) + "$", 0.0), get(decode(word, self.model.chars) + "$", 0.0))
         self.cache[word] = out
         return out
 

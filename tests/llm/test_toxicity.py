@@ -94,3 +94,10 @@ def test_character_model_has_no_cap(spark):
     rows = [(" ".join(words[k : k + 1000]),) for k in range(0, len(words), 1000)]
     model = toxicity.fit_characters(spark.createDataFrame(rows, "text string"))
     assert all(model.counts.get(w) for w in words)
+
+
+def test_marks_that_are_letters_and_single_doubled_letters():
+    chars = toxicity.CharModel(grams({w: 50 for w in CLEAN} | {"idiot": 20, "asshole": 20}))
+    assert toxicity.Restorer(chars).words("!diot") == ("idiot",)
+    scorer = toxicity.Scorer(toxicity.Model(chars, {"asshole$": 5.0}, None))
+    assert scorer.weight("asshhole") == 5.0 and scorer.weight("garden") == 0.0
