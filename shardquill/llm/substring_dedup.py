@@ -1,18 +1,24 @@
-"""Passages that repeat across documents, by compact windows over token min-hashes, met by key and compared in full.
-
-Tokens are hashes of five-word shingles. Two sequences of LENGTH tokens with a Jaccard similarity of THRESHOLD differ in
-one place at most besides their ends, as one changed word changes five tokens; so they share a run of at least RUN equal
-tokens. Of all GRAM-token pieces of a run the one with the smallest hash is its root: all runs of RUN tokens that share a
-root form a compact window, and roots are found as sliding minima. Equal runs have equal roots. So windows that meet by
-their root's piece of text hold all near-duplicate sequences, with none left to chance.
-
-Windows of one key are first compared with the first of them, on the documents' token sequences aligned at the root,
-which settles exact copies. Every key of which a window is not covered by a found passage, or whose documents are in
-different components, is then compared in full, all windows with all, except pairs of covered windows in one component:
-on the AROUND tokens around the root, as sets up to a shift by one (more cannot pass the threshold). In large
-groups not all pairs are looked at, with nothing ruled out that passes: of n tokens around a root two windows must share
-``need``, so one of the n - need + 1 rarest of each; and a pair of one component tells nothing new unless it shares a
-token that no found passage covers in one of the two. Keys with over BLOCK windows are split into pairs of blocks.
+"""Passages that repeat across documents, by compact windows over token min-hashes, joined on their roots.
+
+Tokens are hashes of five-word shingles. Under a hash function the Cartesian tree of a text has the smallest hash of all
+as its root, and the trees of the parts before and after it as branches; the smallest hash of any sequence is the lowest
+node that holds both its ends. So all sequences whose smallest hash is at c form one compact window (l, c, r): they
+start in l..c and end in c..r. Of those with LENGTH tokens the first ones start in max(l, c - LENGTH + 1) and the last
+ones in min(c, r - LENGTH + 1), and these are the starts whose sliding minimum over LENGTH hashes is at c: sliding
+minima give the tree's windows of that length, without the tree (a test holds them against it).
+
+Windows of FUNCTIONS functions are joined on their root's hash. Two near-duplicate sequences, which agree in at least
+THRESHOLD of their tokens, share the root under one function with that probability, so under any of them nearly always.
+The join is one of intervals: each window is laid around its root and holds only the tokens of its own sequences, so two
+windows can agree only in sequences that both intervals hold. Agreement is then verified token by token, on 16 bits of
+each token's hash, with a shift by one for a word put in or left out.
+
+No group is compared pair by pair unless it has at most FEW different windows. In a larger one equal sequences are found
+by hashes of all sequences that start at one place; the commonest of them give pivots, with which all windows are
+compared; and what is left, of windows with enough tokens that some other one has at that place, is compared where it
+shares a token that is not the commonest of its place, again with pivots if many do. A key with over BLOCK windows is
+dealt in blocks; the blocks' pivots meet under the key again, and its windows under each token that is not the commonest
+of its place, so that work stays in proportion to the windows.
 """
 
 from __future__ import annotations
@@ -22,28 +28,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, map_texts, one_per_id, sized, slices
+from .common import Scratch, map_arrow, one_per_id, sized, slices, without
 from .graph import components
 from .minhash import WORDS, Shingler, _all, mix
 
 #: Words of the shortest passage, and what that is in tokens.
 PASSAGE = 50
 LENGTH = PASSAGE - WORDS + 1
-THRESHOLD = 0.8
-#: Tokens of a root's piece of text, and of the equal runs that are certain to share one.
-GRAM, RUN = 10, 21
+THRESHOLD, FUNCTIONS = 0.8, 3
 #: Tokens before a root that a sequence with it can start at, and tokens around it in all.
-BEFORE = LENGTH - GRAM
+BEFORE = LENGTH - 1
 AROUND = BEFORE + LENGTH
-#: Windows of a key that one task compares, those beyond which rare tokens choose the pairs, and pairs compared at a time.
-BLOCK, FEW, PAIRS = 16_384, 64, 1 << 14
-#: Tokens by which one text's passage may have shifted against the other's within a window.
-SLACK = 8
+#: Windows of a key in one group, different ones that are all compared, pairs compared at a time, windows read at a time.
+BLOCK, FEW, PAIRS, CHUNK = 65_536, 48, 1 << 14, 32_768
 _BITS = 24
+_ODD = np.random.default_rng(46).integers(1, 2**63, AROUND).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def roots(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -60,14 +62,14 @@ def roots(hashes: np.ndarray, length: int) -> np.ndarray:
     return (best & low).astype(np.int64)
 
 
-def windows(tokens: np.ndarray, owner: np.ndarray, length: int = LENGTH, functions: int = 2) -> list[tuple[np.ndarray, ...]]:
+def windows(tokens: np.ndarray, owner: np.ndarray, length: int = LENGTH, functions: int = FUNCTIONS) -> list[tuple[np.ndarray, ...]]:
     """(owner, root, first start, last start) of all compact windows of several texts, laid end to end, by function."""
     if len(tokens) < length:
         return []
     inside = owner[: len(owner) - length + 1] == owner[length - 1 :]
     out = []
     for f in range(functions):
-        root = roots(mix(tokens + np.uint64((f + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), length)
+        root = roots(hashed(tokens, f), length)
         change = np.ones(len(root), dtype=bool)
         change[1:] = (root[1:] != root[:-1]) | (inside[1:] != inside[:-1])
         first = np.flatnonzero(change)
@@ -77,171 +79,47 @@ def windows(tokens: np.ndarray, owner: np.ndarray, length: int = LENGTH, functio
     return out
 
 
-def keyed(tokens: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(owner, key, root) of all roots of several texts, laid end to end; texts of under LENGTH tokens have none."""
-    if len(tokens) < LENGTH:
-        return (np.zeros(0, dtype=np.int64),) * 3
-    piece = np.zeros(len(tokens) - GRAM + 1, dtype=np.uint64)
-    for k in range(GRAM):
-        piece = mix(piece * np.uint64(0x9E3779B97F4A7C15) + tokens[k : len(tokens) - GRAM + 1 + k])
-    root = roots(piece, RUN - GRAM + 1)
-    root = np.unique(root[owner[: len(root)] == owner[RUN - 1 :]])
-    root = root[np.bincount(owner)[owner[root]] >= LENGTH]
-    return owner[root], piece[root].view(np.int64), root
+def hashed(tokens: np.ndarray, f: int) -> np.ndarray:
+    return mix(tokens + np.uint64((f + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
 
 
 def _windows(texts: DataFrame) -> DataFrame:
-    """(doc_id, key, c, lo, hi): roots of each text, and the first and last start of sequences that hold them, in token places of the text."""
-    fields = ["doc_id", "key", "c", "lo", "hi"]
+    """(doc_id, n, tokens, windows) of texts with a window: tokens has 16 bits of each, windows key, c, lo, hi.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for batch in batches:
-            for start, end in slices(batch.column(1), 4 << 20):
-                part = batch.slice(start, end - start)
-                ids = part.column(0).to_numpy()
-                tokens = [shingler.shingles(t) for t in part.column(1).to_pylist()]
-                sizes = np.array([len(t) for t in tokens])
-                at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                owner, key, c = keyed(np.concatenate(tokens), np.repeat(np.arange(len(tokens)), sizes))
-                c = c - at[owner]
-                lo, hi = np.maximum(c - BEFORE, 0), np.minimum(c, sizes[owner] - LENGTH)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(key), *(pa.array(x.astype(np.int32)) for x in (c, lo, hi))], names=fields)
-
-    return map_arrow(texts, run, "doc_id bigint, key bigint, c int, lo int, hi int")
-
-
-_MEMBER = ["key", "doc_id", "c", "lo", "hi", "p_doc", "p_c", "p_lo", "p_hi"]
-_MEMBERS = "key bigint, doc_id bigint, c int, lo int, hi int, p_doc bigint, p_c int, p_lo int, p_hi int"
-
-
-def _members(rows: DataFrame) -> DataFrame:
-    """All windows of keys that several documents have, beside the first window of their key.
-
-    Rows are dealt by key, sorted and streamed; a task holds one batch and one document's windows of a key at a time. A
-    document has many keys, so even a passage that all documents share is but a small part of all rows.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None  # rows of the last key that may have to be told; only its first if they were
-        told = False
-        for batch in batches:
-            if not len(batch):
-                continue
-            cols = [batch.column(i).to_numpy() for i in range(5)]
-            if held is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-            key, doc = cols[0], cols[1]
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = key[1:] != key[:-1]
-            pivot = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-            group = np.cumsum(new) - 1
-            several = np.bincount(group, weights=doc != doc[pivot]) > 0
-            several[0] |= told
-            ok = several[group]
-            ok[0] &= not told
-            tell = np.flatnonzero(ok)
-            yield pa.RecordBatch.from_arrays([pa.array(c[tell]) for c in cols] + [pa.array(c[pivot[tell]]) for c in cols[1:]], names=_MEMBER)
-            told = bool(several[-1])
-            held = [c[pivot[-1] : pivot[-1] + 1] if told else c[pivot[-1] :] for c in cols]
-
-    dealt = rows.select("key", "doc_id", "c", "lo", "hi").repartition("key").sortWithinPartitions("key", "doc_id", "c")
-    return map_arrow(dealt, run, _MEMBERS)
-
-
-def _stretches(hit: np.ndarray, need: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of runs of ``length`` places of which at least ``need`` are hits, and the (start, end) of what they cover, cut to the outermost hits."""
-    sums = np.concatenate([[0], np.cumsum(hit)])
-    good = np.flatnonzero(sums[length:] - sums[:-length] >= need) if len(hit) >= length else np.zeros(0, dtype=np.int64)
-    if not len(good):
-        return good, np.zeros((0, 2), dtype=np.int64)
-    cut = np.flatnonzero(good[1:] > good[:-1] + length) + 1
-    begin, end = good[np.concatenate([[0], cut])], good[np.concatenate([cut - 1, [len(good) - 1]])] + length
-    places = np.flatnonzero(hit)
-    return good, np.stack([places[np.searchsorted(places, begin)], places[np.searchsorted(places, end) - 1] + 1], axis=1)
-
-
-def compare(a: np.ndarray, b: np.ndarray, anchors: np.ndarray, threshold: float = THRESHOLD, length: int = LENGTH) -> tuple[list, list, np.ndarray]:
-    """Spans of near-duplicate tokens in ``a`` and ``b``, and for each anchor 1 (a match) or 0.
-
-    An anchor (c, lo, hi in b; c, lo, hi in a) says that the sequences starting in lo..hi share the root at c. All
-    anchors with one shift are read off the same comparison place by place; those that it does not satisfy are
-    compared as sets around their window, which allows for words put in or left out.
+    key is the root's hash under its function, c its place among the tokens, lo and hi the first and last starts.
     """
-    need = math.ceil(2 * length * threshold / (1 + threshold) - 1e-9)
-    spans_a: set = set()
-    spans_b: set = set()
-    status = np.zeros(len(anchors), dtype=np.int32)
-    shifts = anchors[:, 0] - anchors[:, 3]
-    for shift in np.unique(shifts):
-        at = np.flatnonzero(shifts == shift)
-        start = max(0, -shift)
-        stop = min(len(a), len(b) - shift)
-        equal = a[start:stop] == b[start + shift : stop + shift]
-        good, found = _stretches(equal, need, length)
-        spans_a.update((int(s + start), int(e + start)) for s, e in found)
-        spans_b.update((int(s + start + shift), int(e + start + shift)) for s, e in found)
-        lo = np.maximum(anchors[at, 4], anchors[at, 1] - shift) - start
-        hi = np.minimum(anchors[at, 5], anchors[at, 2] - shift) - start
-        some = np.searchsorted(good, hi, "right") > np.searchsorted(good, lo, "left")
-        sums = np.concatenate([[0], np.cumsum(equal)])
-        lo, end = np.clip(lo, 0, len(equal)), np.clip(hi + length, 0, len(equal))
-        # of a window with words put in or left out, at least half of what must agree does so on one side of them
-        status[at] = np.where(some, 1, np.where(sums[end] - sums[lo] >= (need - WORDS) // 2, -1, 0))
-    for i in np.flatnonzero(status < 0):
-        status[i] = 0
-        _, blo, bhi, _, alo, ahi = anchors[i].tolist()
-        alo2, blo2 = max(0, alo - SLACK), max(0, blo - SLACK)
-        _, in_a = _stretches(np.isin(a[alo : ahi + length], b[blo2 : bhi + length + SLACK]), need, length)
-        if not len(in_a):
-            continue
-        _, in_b = _stretches(np.isin(b[blo : bhi + length], a[alo2 : ahi + length + SLACK]), need, length)
-        if len(in_b):
-            spans_a.update((int(s + alo), int(e + alo)) for s, e in in_a)
-            spans_b.update((int(s + blo), int(e + blo)) for s, e in in_b)
-            status[i] = 1
-    return _union(spans_a), _union(spans_b), status
-
-
-def _union(spans: set) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [tuple(x) for x in out]
-
-
-_FOUND = "doc_id bigint, other bigint, lo int, hi int"
-
-
-def _told(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "other", "lo", "hi"])
-
-
-def _compared(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Spans lo..hi of doc_id that ``other`` repeats."""
-    pairs = pairs.select("p_doc", "doc_id", "a", "b", "anchors")
+    kind = pa.struct([("key", pa.int64()), ("c", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
         for batch in batches:
-            out: list[tuple] = []
-            for i in range(len(batch)):
-                p, d = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                a, b = batch.column(2)[i].values.to_numpy(), batch.column(3)[i].values.to_numpy()
-                rows = batch.column(4)[i].values
-                spans_a, spans_b, _ = compare(a, b, np.stack([rows.field(k).to_numpy() for k in range(6)], axis=1).astype(np.int64), threshold)
-                out += [(p, d, s, e) for s, e in spans_a] + [(d, p, s, e) for s, e in spans_b]
-            yield _told(out)
-
-    return map_arrow(pairs, run, _FOUND)
+            for start, end in slices(batch.column(1), 2 << 20):
+                part = batch.slice(start, end - start)
+                found = [shingler.shingles(t) for t in part.column(1).to_pylist()]
+                sizes = np.array([len(t) for t in found])
+                at = np.concatenate([[0], np.cumsum(sizes)])
+                tokens = np.concatenate(found)
+                parts = windows(tokens, np.repeat(np.arange(len(sizes)), sizes))
+                owner = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int64)])
+                order = np.argsort(owner, kind="stable")
+                key = np.concatenate([hashed(tokens[p[1]], f) for f, p in enumerate(parts)] or [np.zeros(0, np.uint64)])[order].view(np.int64)
+                owner = owner[order]
+                places = [(np.concatenate([p[k] for p in parts])[order] - at[owner]).astype(np.int32) if parts else np.zeros(0, np.int32) for k in (1, 2, 3)]
+                short = (tokens >> np.uint64(48)).astype(np.uint16)
+                some = np.flatnonzero(sizes >= LENGTH)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes))[some])]).astype(np.int32)
+                rows = pa.StructArray.from_arrays([pa.array(key), *map(pa.array, places)], fields=list(kind))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(some)), pa.array(sizes[some], pa.int32()), pa.array([short[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), rows)],
+                    names=["doc_id", "n", "tokens", "windows"],
+                )
+
+    return map_arrow(texts.select("doc_id", "text"), run, "doc_id bigint, n int, tokens binary, windows array<struct<key:bigint,c:int,lo:int,hi:int>>")
 
 
 def near(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which rows of ``a`` and ``b`` (tokens around a root; below -1 where the text has none) hold near-duplicate sequences, and the spans of these in either."""
-    need = math.ceil(2 * LENGTH * threshold / (1 + threshold) - 1e-9)
+    """Which rows of ``a`` and ``b`` (tokens around a root, negative and different where there is none) hold near-duplicate sequences, and the spans of these in either."""
+    need = needed(threshold)
     equal, after, before = a == b, a[:, 1:] == b[:, :-1], a[:, :-1] == b[:, 1:]
     hits = [equal.copy(), equal]
     hits[0][:, 1:] |= after
@@ -249,13 +127,7 @@ def near(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple[np
     hits[1][:, :-1] |= after
     hits[1][:, 1:] |= before
     some = np.flatnonzero((hits[0].sum(axis=1) >= need) & (hits[1].sum(axis=1) >= need))
-    good = []
-    for x, h in zip((a, b), hits, strict=True):
-        sums = np.zeros((len(some), AROUND + 1), dtype=np.int16)
-        np.cumsum(h[some], axis=1, out=sums[:, 1:])
-        inside = np.zeros((len(some), AROUND + 1), dtype=np.int16)
-        np.cumsum(x[some] >= -(1 << 31), axis=1, out=inside[:, 1:])
-        good.append((sums[:, LENGTH:] - sums[:, :-LENGTH] >= need) & (inside[:, LENGTH:] - inside[:, :-LENGTH] == LENGTH))
+    good = [(_sums(h[some]) >= need) & (_sums(x[some] >= 0) == LENGTH) for x, h in zip((a, b), hits, strict=True)]
     ok = good[0].any(axis=1) & good[1].any(axis=1)
     some, spans = some[ok], []
     for h, g in zip(hits, good, strict=True):
@@ -269,216 +141,279 @@ def near(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple[np
     return some, spans[0], spans[1]
 
 
-def candidates(tokens: np.ndarray, free: np.ndarray, bounds: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i < j) of rows of one key (those between two bounds) that may share ``need`` tokens; of up to FEW rows all pairs."""
-    sizes = np.diff(bounds)
-    for m in np.unique(sizes[(sizes > 1) & (sizes <= FEW)]):
+def needed(threshold: float) -> int:
+    """Tokens that two sequences of LENGTH must share."""
+    return math.ceil(2 * LENGTH * threshold / (1 + threshold) - 1e-9)
+
+
+def _sums(hit: np.ndarray) -> np.ndarray:
+    """For each row and start how many of the next LENGTH places are hits."""
+    sums = np.zeros((len(hit), AROUND + 1), dtype=np.int16)
+    np.cumsum(hit, axis=1, out=sums[:, 1:])
+    return sums[:, LENGTH:] - sums[:, :-LENGTH]
+
+
+def pairs_of(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs i < j of places within runs that start at ``starts`` and have ``sizes`` places."""
+    for m in np.unique(sizes[sizes > 1]):
         i, j = np.triu_indices(m, 1)
-        starts = bounds[:-1][sizes == m]
-        for k in range(0, len(starts), max(1, PAIRS // len(i))):
-            at = starts[k : k + max(1, PAIRS // len(i)), None]
+        of = starts[sizes == m]
+        step = max(1, PAIRS // len(i))
+        for k in range(0, len(of), step):
+            at = of[k : k + step, None]
             yield (at + i).ravel(), (at + j).ravel()
-    for k in np.flatnonzero(sizes > FEW):
-        for i, j in _sharing(tokens[bounds[k] : bounds[k + 1]], free[bounds[k] : bounds[k + 1]], need):
-            yield i + bounds[k], j + bounds[k]
-
-
-def _sharing(tokens: np.ndarray, free: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows that share one of their rarest tokens, or a token that is free in either, or all pairs: whichever are fewest."""
-    m = len(tokens)
-    row, place = np.nonzero(tokens >= -(1 << 31))
-    places = np.bincount(row, minlength=m)  # what repeats within a row may stand for several of the shared places
-    code, inverse = np.unique(((tokens[row, place] + (1 << 31)) << 24) | row, return_inverse=True)
-    free = np.bincount(inverse, weights=free[row, place], minlength=len(code)) > 0
-    value, row = code >> 24, code & ((1 << 24) - 1)
-    _, which, count = np.unique(value, return_inverse=True, return_counts=True)
-    order = np.lexsort((which, count[which], row))
-    sizes = np.bincount(row, minlength=m)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    rare = np.zeros(len(row), dtype=bool)
-    rare[order] = nth <= places[row[order]] - need
-    of, open_, all_ = (np.bincount(which, weights=w, minlength=len(count)) for w in (rare, free, None))
-    by_rare, by_free = float((of * of).sum()), float((open_ * all_).sum())
-    if min(by_rare, by_free) > m * m / 2:
-        for i in range(m - 1):
-            yield np.full(m - 1 - i, i), np.arange(i + 1, m)
-        return
-    if by_rare <= by_free:
-        take, left = rare, np.ones(len(row), dtype=bool)
-    else:
-        take, left = (open_ > 0)[which], free
-    row, which, left = row[take], which[take], left[take]  # code is in order of values and rows
-    cuts = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), len(row)]
-    held, n = [], 0
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        if hi - lo < 2:
-            continue
-        x = row[lo:hi]
-        at = x[left[lo:hi]]
-        step = max(1, PAIRS * 16 // len(x))
-        for k in range(0, len(at), step):
-            i, j = np.repeat(at[k : k + step], len(x)), np.tile(x, len(at[k : k + step]))
-            ok = i != j
-            held.append(np.minimum(i, j)[ok] * m + np.maximum(i, j)[ok])
-            n += len(held[-1])
-            if n > PAIRS * 64:
-                seen = np.unique(np.concatenate(held))
-                yield seen // m, seen % m
-                held, n = [], 0
-    if held:
-        seen = np.unique(np.concatenate(held))
-        yield seen // m, seen % m
-
-
-def within(tokens: np.ndarray, doc: np.ndarray, component: np.ndarray, free: np.ndarray, part: np.ndarray, split: np.ndarray, bounds: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, ...]:
-    """(row, the first row that it is linked to, start, end): windows of each key compared, where ``split`` only those of one part with the other's."""
-    m = len(tokens)
-    need = math.ceil(2 * LENGTH * threshold / (1 + threshold) - 1e-9)
-    lo, hi, label = np.full(m, AROUND), np.zeros(m, dtype=np.int64), np.arange(m)
-    covered = ~free.any(axis=1)
-    for k in np.flatnonzero(np.diff(bounds) > FEW):
-        at = slice(bounds[k], bounds[k + 1])
-        names, count = np.unique(component[at], return_counts=True)
-        free[at][component[at] != names[count.argmax()]] = True  # a link to another component is news wherever it is
-
-    def look(i: np.ndarray, j: np.ndarray) -> None:
-        nonlocal label
-        some, in_i, in_j = near(tokens[i], tokens[j], threshold)
-        i, j = i[some], j[some]
-        for at, span in ((i, in_i), (j, in_j)):
-            np.minimum.at(lo, at, span[:, 0])
-            np.maximum.at(hi, at, span[:, 1])
+
+
+class Matcher:
+    """Near-duplicate sequences among windows: rows of ``x``, of a document each, of several if ``many``.
+
+    ``lo`` and ``hi`` bound what was found in a row (hi is 0 if nothing), ``label`` is the first row it is linked to.
+    """
+
+    def __init__(self, x: np.ndarray, doc: np.ndarray, many: np.ndarray, threshold: float = THRESHOLD):
+        self.x, self.doc, self.many, self.threshold = x, doc, many, threshold
+        self.lo, self.hi, self.label = np.full(len(x), AROUND), np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+        valid = x >= 0
+        self._cover(np.flatnonzero(many), valid.argmax(axis=1)[many], AROUND - valid[:, ::-1].argmax(axis=1)[many])
+
+    def _cover(self, rows: np.ndarray, lo: np.ndarray | int, hi: np.ndarray | int) -> None:
+        np.minimum.at(self.lo, rows, lo)
+        np.maximum.at(self.hi, rows, hi)
+
+    def _link(self, i: np.ndarray, j: np.ndarray) -> None:
+        label = self.label
         while len(off := np.flatnonzero(label[i] != label[j])):
             a, b = label[i[off]], label[j[off]]
             np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
             while (label[label] != label).any():
-                label = label[label]
-
-    wait: list[tuple[np.ndarray, np.ndarray]] = []
-    n = 0
-    for i, j in candidates(tokens, free, bounds, need):
-        ok = (doc[i] != doc[j]) & ~(covered[i] & covered[j] & (component[i] == component[j])) & (~split[i] | (part[i] != part[j]))
-        wait.append((i[ok], j[ok]))
-        n += int(ok.sum())
-        if n >= PAIRS:
-            i, j = (np.concatenate(x) for x in zip(*wait, strict=True))
-            for k in range(0, n, PAIRS):
-                look(i[k : k + PAIRS], j[k : k + PAIRS])
-            wait, n = [], 0
-    if n:
-        look(*(np.concatenate(x) for x in zip(*wait, strict=True)))
-    found = np.flatnonzero(hi)
-    return found, label[found], lo[found], hi[found]
-
-
-def _full(rows: DataFrame, threshold: float) -> DataFrame:
-    """Spans from comparing all windows of each tile: rows (key, x, y, part, doc_id, component, spans, c, first, s)."""
-    names = ["key", "x", "y", "part", "doc_id", "component", "c", "first", "s", "spans"]
+                label[:] = label[label]
+
+    def look(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Compare pairs of rows."""
+        ok = (i != j) & ((self.doc[i] != self.doc[j]) | self.many[i] | self.many[j])
+        i, j, linked = i[ok], j[ok], []
+        for k in range(0, len(i), PAIRS):
+            a, b = i[k : k + PAIRS], j[k : k + PAIRS]
+            some, in_a, in_b = near(self.x[a], self.x[b], self.threshold)
+            self._cover(a[some], in_a[:, 0], in_a[:, 1])
+            self._cover(b[some], in_b[:, 0], in_b[:, 1])
+            linked.append((a[some], b[some]))
+        if linked:
+            self._link(*map(np.concatenate, zip(*linked, strict=True)))
+
+    def small(self, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Small groups, pair by pair."""
+        for i, j in pairs_of(starts, sizes):
+            self.look(i, j)
+
+    def _equal(self, rows: np.ndarray) -> np.ndarray:
+        """Cover and link equal sequences; the pivots: for each start a row with the commonest sequence, the one that has most of these."""
+        x = self.x[rows]
+        sums = np.zeros((len(rows), AROUND + 1), dtype=np.uint64)
+        np.cumsum(x.astype(np.uint64) * _ODD, axis=1, out=sums[:, 1:])
+        whole = _sums(x >= 0) == LENGTH
+        common, score = [], np.zeros(len(rows), dtype=np.int64)
+        for s in range(LENGTH):
+            ok = np.flatnonzero(whole[:, s])
+            if len(ok) < 2:
+                continue
+            _, first, of, count = np.unique((sums[ok, s + LENGTH] - sums[ok, s]), return_index=True, return_inverse=True, return_counts=True)
+            at = rows[ok]
+            several = np.bincount(of, weights=(self.doc[at] != self.doc[at[first]][of]) | self.many[at]) > 0
+            hit = several[of]
+            self._cover(at[hit], s, s + LENGTH)
+            self._link(at[hit], at[first[of]][hit])
+            if count.max() > 1:
+                common.append(ok[of == count.argmax()])
+                score[common[-1]] += 1
+        return np.unique([rows[c[score[c].argmax()]] for c in common]).astype(np.int64)
+
+    def large(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One large group; its pivots, and the (row, code) of all tokens that are not the commonest of their place."""
+        pivots = self._equal(rows)
+        for p in pivots:
+            self.look(rows, np.full(len(rows), p))
+        x = self.x[rows]
+        row, place = np.nonzero(x >= 0)
+        code = place.astype(np.int64) << 16 | x[row, place]
+        known, of, count = np.unique(code, return_inverse=True, return_counts=True)
+        best = np.lexsort((count, known >> 16))
+        best = best[np.append(np.diff(known[best] >> 16) > 0, True)]  # the commonest of each place
+        mode = np.zeros(len(known), dtype=bool)
+        mode[best] = count[best] > 1
+        beside = [np.isin(known + step, known, assume_unique=True) for step in (1 << 16, -(1 << 16))]
+        held = np.zeros(x.shape, dtype=bool)
+        held[row, place] = ((count > 1) | beside[0] | beside[1])[of]
+        starts = np.arange(LENGTH)
+        open_ = (starts < self.lo[rows, None]) | (starts + LENGTH > self.hi[rows, None])
+        left = ((_sums(held) >= needed(self.threshold)) & (_sums(x >= 0) == LENGTH) & open_).any(axis=1)
+        rare = ~mode[of]
+        if left.any():
+            useful = (count > 1) & ~mode & (np.bincount(of, weights=left[row], minlength=len(known)) > 0)
+            take = np.flatnonzero(useful[of])
+            take = take[np.argsort(of[take], kind="stable")]
+            bounds = np.concatenate([[0], np.flatnonzero(np.diff(of[take])) + 1, [len(take)]]) if len(take) else np.zeros(1, dtype=np.int64)
+            sizes, who = np.diff(bounds), row[take]
+            seen = [np.zeros(0, dtype=np.int64)]
+            for i, j in pairs_of(bounds[:-1][sizes <= FEW], sizes[sizes <= FEW]):
+                a, b = who[i], who[j]
+                ok = left[a] | left[b]
+                seen.append(np.unique(a[ok].astype(np.int64) << 32 | b[ok]))
+                if sum(map(len, seen)) > PAIRS * 64:
+                    seen = [self._seen(rows, seen)]
+            self._seen(rows, seen)
+            solved: list[np.ndarray] = []
+            for k in np.argsort(-sizes, kind="stable"):
+                if sizes[k] <= FEW:
+                    break
+                part = np.unique(who[bounds[k] : bounds[k + 1]])
+                if len(part) < len(rows) and not any(s[part].all() for s in solved):
+                    solved.append(np.bincount(part, minlength=len(rows)) > 0)
+                    self.large(rows[part])
+        return pivots, rows[row[rare]], code[rare]
+
+    def _seen(self, rows: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
+        each = np.unique(np.concatenate(pairs))
+        self.look(rows[each >> 32], rows[each & 0xFFFFFFFF])
+        return np.zeros(0, dtype=np.int64)
+
+
+def _matched(rows: DataFrame, threshold: float) -> DataFrame:
+    """Of windows dealt by key and block: spans lo..hi of doc_id, linked to ``other``; of keys in blocks also windows to compare again, under new keys."""
+    names = ["key", "block", "blocks", "doc_id", "c", "lo", "hi", "context"]
+
+    def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        key, block, blocks, doc, c, lo, hi = (t.column(k).to_numpy() for k in range(7))
+        context = t.column(7).chunk(0)
+        n = len(key)
+        sizes = hi - lo + LENGTH
+        x = np.repeat(-1 - np.arange(n, dtype=np.int32)[:, None], AROUND, axis=1)
+        row = np.repeat(np.arange(n), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + (lo - c + BEFORE)[row]
+        flat = np.frombuffer(context.buffers()[2], dtype=np.uint16)
+        begin = np.frombuffer(context.buffers()[1], dtype=np.int32)[context.offset] // 2
+        x[row, place] = flat[begin : begin + len(row)]
+        order = np.lexsort((doc, block, key))
+        key, block, blocks, doc, c, lo, hi, x = (v[order] for v in (key, block, blocks, doc, c, lo, hi, x))
+        new = np.ones(n, dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
+        group = np.cumsum(new) - 1
+        # equal windows are one
+        print_ = (np.where(x >= 0, x, 1 << 16).astype(np.uint64) * _ODD).sum(axis=1, dtype=np.uint64)
+        _, first, of = np.unique(mix(print_ + group.astype(np.uint64) * _ODD[0]), return_index=True, return_inverse=True)
+        by = np.argsort(first)  # in order of groups
+        first, of = first[by], np.argsort(by)[of]
+        many = np.bincount(of, weights=doc != doc[first[of]]) > 0
+        found = Matcher(x[first], doc[first], many, threshold)
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(group[first])) + 1, [len(first)]])
+        each, split = np.diff(bounds), blocks[first[bounds[:-1]]] > 1
+        small = (each <= FEW) & ~split
+        again: list[tuple[np.ndarray, np.ndarray]] = []
+        found.small(bounds[:-1][small], each[small])
+        for k in np.flatnonzero(~small):
+            pivots, at, code = found.large(np.arange(bounds[k], bounds[k + 1]))
+            if split[k]:
+                again.append((pivots, key[first[pivots]]))
+                at = np.concatenate([at, np.repeat(pivots, AROUND)])
+                code = np.concatenate([code, (np.arange(AROUND) << 16 | found.x[pivots]).ravel()])
+                ok = code & 0xFFFF == np.where(found.x[at, code >> 16] >= 0, code & 0xFFFF, -1)
+                again.append((at[ok], mix(key[first[at[ok]]].view(np.uint64) + mix(code[ok].astype(np.uint64))).view(np.int64)))
+        at = np.flatnonzero(found.hi[of] > 0)
+        shift = c[at] - BEFORE
+        yield told(doc[at], found.doc[found.label[of[at]]], found.lo[of[at]] + shift, found.hi[of[at]] + shift, None, None)
+        for which, under in again:
+            for k in range(0, len(which), CHUNK):
+                r = first[which[k : k + CHUNK]]
+                texts = [x[i, BEFORE + lo[i] - c[i] : BEFORE + hi[i] - c[i] + LENGTH].astype(np.uint16).tobytes() for i in r]
+                yield told(doc[r], None, lo[r], hi[r], under[k : k + CHUNK], (c[r], texts))
+
+    def told(doc, other, lo, hi, key, more) -> pa.RecordBatch:
+        n = len(doc)
+        null = lambda kind: pa.nulls(n, kind)
+        cols = [pa.array(doc, pa.int64()), null(pa.int64()) if other is None else pa.array(other, pa.int64()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
+        cols += [null(pa.int64()), null(pa.int32()), null(pa.binary())] if more is None else [pa.array(key, pa.int64()), pa.array(more[0].astype(np.int32)), pa.array(more[1], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "other", "lo", "hi", "key", "c", "context"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # of a tile that goes on in the next batch
-
-        def tiles(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts).combine_chunks()
-            key, x, y, part, doc, component, c, first = (t.column(k).to_numpy() for k in range(8))
-            bounds = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, [len(key)]])
-            tokens = np.repeat(-(1 << 40) - np.arange(len(key), dtype=np.int64)[:, None], AROUND, axis=1)
-            s, spans = (t.column(k).combine_chunks() for k in (8, 9))
-            sizes = pc.list_value_length(s).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + (first - c + BEFORE)[row]
-            tokens[row, place] = pc.list_flatten(s).to_numpy(zero_copy_only=False)
-            free = np.zeros((len(key), AROUND + 1), dtype=np.int32)  # of how many found spans a place is part
-            row = np.repeat(np.arange(len(key)), pc.list_value_length(spans).to_numpy(zero_copy_only=False))
-            ends = pc.list_flatten(spans)
-            for field, step in (("lo", 1), ("hi", -1)):
-                place = pc.struct_field(ends, field).to_numpy(zero_copy_only=False).astype(np.int64) - (c - BEFORE)[row]
-                np.add.at(free, (row, np.clip(place, 0, AROUND)), step)
-            free = (np.cumsum(free[:, :-1], axis=1) == 0) & (tokens >= -(1 << 31))
-            at, root, lo, hi = within(tokens, doc, component, free, part, x != y, bounds, threshold)
-            shift = c[at] - BEFORE
-            return _told(list(zip(doc[at].tolist(), doc[root].tolist(), (lo + shift).tolist(), (hi + shift).tolist(), strict=True)))
-
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not len(batch):
                 continue
-            key, x, y = (batch.column(k).to_numpy() for k in range(3))
-            cut = np.flatnonzero((key != key[-1]) | (x != x[-1]) | (y != y[-1]))
-            start = int(cut[-1]) + 1 if len(cut) else 0
-            last = held and tuple(held[-1].column(k)[-1].as_py() for k in range(3))
-            if start or last and last != (key[0], x[0], y[0]):
-                yield tiles([*held, batch.slice(0, start)])
-                held = []
-            held.append(batch.slice(start))
+            if sum(map(len, held)) >= CHUNK:
+                key, block = (batch.column(k).to_numpy() for k in (0, 1))
+                last = held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()
+                other = np.flatnonzero((key != last[0]) | (block != last[1]))
+                cut = int(other[0]) if len(other) else len(batch)
+                held.append(batch.slice(0, cut))
+                if cut == len(batch):
+                    continue
+                yield from solve(held)
+                held, batch = [], batch.slice(cut)
+            held.append(batch)
         if held:
-            yield tiles(held)
+            yield from solve(held)
+
+    dealt = rows.select(*names).repartition("key", "block").sortWithinPartitions("key", "block")
+    return map_arrow(dealt, run, "doc_id bigint, other bigint, lo int, hi int, key bigint, c int, context binary")
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """(key, blocks) of keys that several documents have; counts are summed in each task first."""
+    found = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a <> b")
+    return found.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
 
-    dealt = rows.select(*names).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return map_arrow(dealt, run, _FOUND)
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+
+
+def _first_rows(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """The windows of keys that several documents have, with their tokens."""
+    shared = scratch.keep(_shared(found.select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.key")))
+    context = F.substring("tokens", F.col("w.lo") * 2 + 1, (F.col("w.hi") - F.col("w.lo") + LENGTH) * 2).alias("context")
+    small = sized(shared)
+    if small is shared:  # too many keys to broadcast: documents get their shared windows back before these take their tokens along
+        slim = found.select("doc_id", F.explode("windows").alias("w")).join(shared, F.col("w.key") == F.col("key"))
+        marked = slim.groupBy("doc_id").agg(F.collect_list(F.struct("w", "blocks")).alias("x"))
+        each = marked.join(found.select("doc_id", "tokens"), "doc_id").select("doc_id", "tokens", F.explode("x").alias("x")).select("doc_id", "tokens", "x.w", "x.blocks")
+    else:
+        each = found.select("doc_id", "tokens", F.explode("windows").alias("w")).join(small, F.col("w.key") == F.col("key"))
+    return _dealt(each.select("doc_id", "w.key", "w.c", "w.lo", "w.hi", "blocks", context))
 
 
 def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, start_word, end_word, n_words, class_id, n_links): passages of 50 words or more that other documents repeat.
+    """(doc_id, start_word, end_word, n_words, class_id): passages of 50 words or more that other documents repeat.
 
     Words are runs of letters and digits in lower case, counted from 0; end_word is the first one after the passage.
     Passages of a document that touch or overlap are one row. class_id is the smallest id among the documents linked
-    through passages. n_links is not the number of documents that share a passage with the document, only of those that
-    links were kept to: links that join classes, of which a passage that many share has one or a few for each. Passages repeated only within one document are not reported;
-    neither are texts under 50 words, null texts and null ids. Of an id with several texts the smallest is taken. An
-    empty table gives an empty result. Texts are read whole.
+    through passages. Passages repeated only within one document are not reported; neither are texts under 50 words,
+    null texts and null ids. Equal texts take part once, and each of their documents is one passage. Of an id with
+    several texts the smallest is taken. An empty table gives an empty result. Texts are read whole.
     """
     scratch = Scratch(docs.sparkSession)
     texts = one_per_id(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")), scratch).where("text is not null")
-    members = scratch.keep(_members(_windows(texts)))
-    ids = scratch.keep(members.select("doc_id").union(members.select("p_doc")).distinct())
-
-    def make():
-        shingler = Shingler()
-
-        def run(values: list[str | None]) -> list:
-            tokens = [(shingler.shingles(t) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in values]
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens)))]
-
-        return run
-
-    held = map_texts(texts.join(sized(ids), "doc_id", "left_semi"), [("s", "array<int>", pa.list_(pa.int32()))], make).drop("text")
-    held = scratch.keep(held)
-    pairs = members.where("doc_id <> p_doc").groupBy("p_doc", "doc_id").agg(F.collect_set(F.struct("c", "lo", "hi", "p_c", "p_lo", "p_hi")).alias("anchors"))
-    pairs = pairs.join(held.select(F.col("doc_id").alias("p_doc"), F.col("s").alias("a")), "p_doc").join(held.withColumnRenamed("s", "b"), "doc_id")
-    found = [scratch.keep(_compared(pairs, threshold))]
-    found.append(scratch.keep(_full(_open(members, found[0], held, scratch), threshold)))
-    spans = _all(found)
-    linked = spans.where("doc_id <> other").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
-    pairs = scratch.keep(linked.union(linked.select("b", "a")).distinct())
-    classes = components(pairs, scratch)
-    n_links = pairs.groupBy("a").agg(F.count("*").alias("n_links"))
-    distinct = spans.select("doc_id", "lo", "hi").distinct()
+    prints = texts.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("text"), "text").alias("b"))
+    equal = prints.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m")
+    copies = scratch.keep(prints.join(equal, ["a", "b"]).select("doc_id", "rep"))
+    found = scratch.keep(_windows(without(texts, copies.where("doc_id <> rep").select("doc_id"))))
+    whole = found.join(sized(copies.select("rep").distinct()), F.col("doc_id") == F.col("rep")).select("rep", F.lit(0).alias("lo"), F.col("n").alias("hi"))
+    whole = scratch.keep(whole)
+    rows, parts = _first_rows(found, scratch), [whole.select(F.col("rep").alias("doc_id"), F.col("rep").alias("other"), "lo", "hi")]
+    while True:
+        out = scratch.keep(_matched(rows, threshold))
+        parts.append(out.where("key is null").select("doc_id", "other", "lo", "hi"))
+        again = out.where("key is not null").drop("other")
+        if again.isEmpty():
+            break
+        rows = _dealt(again.join(sized(scratch.keep(_shared(again))), "key"))
+    spans = _all(parts)
+    classes = components(spans.select(F.col("doc_id").alias("a"), F.col("other").alias("b")), scratch)
     by = Window.partitionBy("doc_id").orderBy("lo", "hi")
     before = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    marked = distinct.withColumn("new", (F.coalesce(before, F.lit(-1)) < F.col("lo")).cast("int"))
+    marked = spans.select("doc_id", "lo", "hi").withColumn("new", (F.coalesce(before, F.lit(-1)) < F.col("lo")).cast("int"))
     merged = marked.withColumn("nth", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "nth").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    merged = merged.select("doc_id", F.col("doc_id").alias("rep"), "lo", "hi").union(copies.where("doc_id <> rep").join(whole, "rep").select("doc_id", "rep", "lo", "hi"))
     end = F.col("hi") + (WORDS - 1)
-    out = merged.join(classes, F.col("doc_id") == F.col("id")).join(n_links, F.col("doc_id") == F.col("a"))
-    return out.select("doc_id", F.col("lo").alias("start_word"), end.alias("end_word"), (end - F.col("lo")).alias("n_words"), F.col("component").alias("class_id"), "n_links")
-
-
-def _open(members: DataFrame, spans: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
-    """Windows of keys that are not settled by ``spans``, with the tokens around their roots, dealt in tiles (x, y) of blocks."""
-    classes = components(spans.select(F.col("doc_id").alias("a"), F.col("other").alias("b")), scratch)
-    ranges = spans.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    rows = members.select("key", "doc_id", "c", "lo", "hi").join(ranges, "doc_id", "left")
-    inside = F.exists("spans", lambda x: (x["lo"] <= F.col("lo")) & (x["hi"] >= F.col("hi") + LENGTH))
-    meet = F.filter("spans", lambda x: (x["lo"] < F.col("c") + LENGTH) & (x["hi"] > F.col("c") - BEFORE))
-    rows = rows.withColumn("covered", F.coalesce(inside, F.lit(False)).cast("int"))
-    rows = rows.withColumn("spans", F.coalesce(meet, F.array().cast("array<struct<lo:int,hi:int>>")))
-    rows = rows.join(classes, F.col("doc_id") == F.col("id"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("id")
-    rows = scratch.keep(rows)
-    keys = rows.groupBy("key").agg(F.min("covered").alias("all"), F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"))
-    keys = scratch.keep(keys.where("all = 0 or a <> b").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    first = F.greatest(F.col("c") - BEFORE, F.lit(0))
-    around = rows.join(keys, "key").join(held, "doc_id").withColumn("first", first).withColumn("s", F.slice("s", F.col("first") + 1, F.col("c") + LENGTH - F.col("first")))
-    around = around.withColumn("block", F.pmod(F.xxhash64("doc_id", "c"), F.col("blocks")).cast("int"))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, "block").alias("x"), F.greatest(b, "block").alias("y")))
-    dealt = around.select("*", F.explode(tiles).alias("t")).select("*", "t.x", "t.y")
-    return dealt.withColumn("part", (F.col("block") == F.col("x")).cast("int"))
+    out = merged.join(classes, F.col("rep") == F.col("id"), "left")
+    return out.select("doc_id", F.col("lo").alias("start_word"), end.alias("end_word"), (end - F.col("lo")).alias("n_words"), F.coalesce("component", "rep").alias("class_id"))
