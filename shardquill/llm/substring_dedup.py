@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, one_per_id, sized, slices, without
+from .common import Scratch, map_arrow, one_per_id, release, sized, slices, without
 from .graph import components
 from .minhash import WORDS, Shingler, _all, mix
 
@@ -43,7 +44,7 @@ THRESHOLD, FUNCTIONS = 0.8, 3
 BEFORE = LENGTH - 1
 AROUND = BEFORE + LENGTH
 #: Windows of a key in one group, different ones that are all compared, pairs compared at a time, windows read at a time.
-BLOCK, FEW, PAIRS, CHUNK = 65_536, 48, 1 << 14, 32_768
+BLOCK, FEW, PAIRS, CHUNK = 65_536, 48, 1 << 13, 16_384
 _BITS = 24
 _ODD = np.random.default_rng(46).integers(1, 2**63, AROUND).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -84,11 +85,12 @@ def hashed(tokens: np.ndarray, f: int) -> np.ndarray:
 
 
 def _windows(texts: DataFrame) -> DataFrame:
-    """(doc_id, n, tokens, windows) of texts with a window: tokens has 16 bits of each, windows key, c, lo, hi.
+    """(doc_id, n, tokens, windows) of texts with a window: tokens has 16 bits of each, windows key, c, lo, hi, more.
 
-    key is the root's hash under its function, c its place among the tokens, lo and hi the first and last starts.
+    key is the root's hash under its function, c its place among the tokens, lo and hi the first and last starts. A
+    window that a text has again, as one that repeats a phrase, stands once, with the roots' other places in ``more``.
     """
-    kind = pa.struct([("key", pa.int64()), ("c", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
+    kind = pa.struct([("key", pa.int64()), ("c", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("more", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -99,22 +101,45 @@ def _windows(texts: DataFrame) -> DataFrame:
                 sizes = np.array([len(t) for t in found])
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 tokens = np.concatenate(found)
-                parts = windows(tokens, np.repeat(np.arange(len(sizes)), sizes))
-                owner = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int64)])
-                order = np.argsort(owner, kind="stable")
-                key = np.concatenate([hashed(tokens[p[1]], f) for f, p in enumerate(parts)] or [np.zeros(0, np.uint64)])[order].view(np.int64)
-                owner = owner[order]
-                places = [(np.concatenate([p[k] for p in parts])[order] - at[owner]).astype(np.int32) if parts else np.zeros(0, np.int32) for k in (1, 2, 3)]
+                parts = windows(tokens, np.repeat(np.arange(len(sizes)), sizes)) or [(np.zeros(0, dtype=np.int64),) * 4]
+                owner, root, first, last = (np.concatenate([p[k] for p in parts]) for k in range(4))
+                key = np.concatenate([hashed(tokens[p[1]], f) for f, p in enumerate(parts)])
+                one, other, of = once(tokens, owner, key, root, first, last)
+                places = [(v - at[owner]).astype(np.int32) for v in (root, first, last)]
                 short = (tokens >> np.uint64(48)).astype(np.uint16)
                 some = np.flatnonzero(sizes >= LENGTH)
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes))[some])]).astype(np.int32)
-                rows = pa.StructArray.from_arrays([pa.array(key), *map(pa.array, places)], fields=list(kind))
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[one], minlength=len(sizes))[some])]).astype(np.int32)
+                ends = np.cumsum(np.bincount(of, minlength=len(one)))
+                more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(places[0][other]), mask=pa.array(np.diff(ends, prepend=0) == 0))
+                rows = pa.StructArray.from_arrays([pa.array(key[one].view(np.int64)), *(pa.array(v[one]) for v in places), more], fields=list(kind))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(some)), pa.array(sizes[some], pa.int32()), pa.array([short[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), rows)],
                     names=["doc_id", "n", "tokens", "windows"],
                 )
-
-    return map_arrow(texts.select("doc_id", "text"), run, "doc_id bigint, n int, tokens binary, windows array<struct<key:bigint,c:int,lo:int,hi:int>>")
+        release()
+
+    return map_arrow(texts.select("doc_id", "text"), run, "doc_id bigint, n int, tokens binary, windows array<struct<key:bigint,c:int,lo:int,hi:int,more:array<int>>>")
+
+
+def once(tokens: np.ndarray, owner: np.ndarray, key: np.ndarray, root: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of windows, those whose tokens their text does not have as a window before, by text; then the others, and the number of the one that each repeats."""
+    odd, back = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    powers = np.ones((2, len(tokens) + 1), dtype=np.uint64)
+    np.cumprod(np.full(len(tokens), odd), out=powers[0, 1:])
+    np.cumprod(np.full(len(tokens), back), out=powers[1, 1:])
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(tokens) * powers[0, :-1], dtype=np.uint64)])
+    print_ = mix((sums[last + LENGTH] - sums[first]) * powers[1, first] + key)
+    print_ = mix(print_ + ((root - first) * AROUND + last - first).astype(np.uint64))
+    _, one, of = np.unique(mix(print_ + owner.astype(np.uint64) * odd), return_index=True, return_inverse=True)
+    order = one.argsort(kind="stable")
+    order = order[owner[one[order]].argsort(kind="stable")]
+    place = np.empty(len(one), dtype=np.int64)
+    place[order] = np.arange(len(one))
+    again = np.ones(len(owner), dtype=bool)
+    again[one] = False
+    other = np.flatnonzero(again)
+    other = other[place[of[other]].argsort(kind="stable")]
+    return one[order], other, place[of[other]]
 
 
 def near(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -280,12 +305,12 @@ class Matcher:
 
 def _matched(rows: DataFrame, threshold: float) -> DataFrame:
     """Of windows dealt by key and block: spans lo..hi of doc_id, linked to ``other``; of keys in blocks also windows to compare again, under new keys."""
-    names = ["key", "block", "blocks", "doc_id", "c", "lo", "hi", "context"]
+    names = ["key", "block", "blocks", "doc_id", "c", "lo", "hi", "context", "more"]
 
     def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts).combine_chunks()
         key, block, blocks, doc, c, lo, hi = (t.column(k).to_numpy() for k in range(7))
-        context = t.column(7).chunk(0)
+        context, more = t.column(7).chunk(0), t.column(8).combine_chunks()
         n = len(key)
         sizes = hi - lo + LENGTH
         x = np.repeat(-1 - np.arange(n, dtype=np.int32)[:, None], AROUND, axis=1)
@@ -300,7 +325,9 @@ def _matched(rows: DataFrame, threshold: float) -> DataFrame:
         new[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
         group = np.cumsum(new) - 1
         # equal windows are one
-        print_ = (np.where(x >= 0, x, 1 << 16).astype(np.uint64) * _ODD).sum(axis=1, dtype=np.uint64)
+        print_ = np.zeros(n, dtype=np.uint64)
+        for k in range(AROUND):
+            print_ += np.maximum(x[:, k], -1).astype(np.uint64) * _ODD[k]
         _, first, of = np.unique(mix(print_ + group.astype(np.uint64) * _ODD[0]), return_index=True, return_inverse=True)
         by = np.argsort(first)  # in order of groups
         first, of = first[by], np.argsort(by)[of]
@@ -320,20 +347,26 @@ def _matched(rows: DataFrame, threshold: float) -> DataFrame:
                 ok = code & 0xFFFF == np.where(found.x[at, code >> 16] >= 0, code & 0xFFFF, -1)
                 again.append((at[ok], mix(key[first[at[ok]]].view(np.uint64) + mix(code[ok].astype(np.uint64))).view(np.int64)))
         at = np.flatnonzero(found.hi[of] > 0)
-        shift = c[at] - BEFORE
-        yield told(doc[at], found.doc[found.label[of[at]]], found.lo[of[at]] + shift, found.hi[of[at]] + shift, None, None)
+        yield told(doc[at], found.doc[found.label[of[at]]], *(v[of[at]] + c[at] - BEFORE for v in (found.lo, found.hi)), None, None)
+        times = pc.fill_null(pc.list_value_length(more), 0).to_numpy()[order]
+        if times.any():  # the same in the other places of a text
+            which = np.repeat(np.arange(n), times)
+            places = pc.list_flatten(more.take(pa.array(order))).to_numpy(zero_copy_only=False)
+            ok = found.hi[of[which]] > 0
+            at, places = which[ok], places[ok]
+            yield told(doc[at], found.doc[found.label[of[at]]], *(v[of[at]] + places - BEFORE for v in (found.lo, found.hi)), None, None)
         for which, under in again:
             for k in range(0, len(which), CHUNK):
                 r = first[which[k : k + CHUNK]]
                 texts = [x[i, BEFORE + lo[i] - c[i] : BEFORE + hi[i] - c[i] + LENGTH].astype(np.uint16).tobytes() for i in r]
-                yield told(doc[r], None, lo[r], hi[r], under[k : k + CHUNK], (c[r], texts))
+                yield told(doc[r], None, lo[r], hi[r], under[k : k + CHUNK], (c[r], texts, more.take(pa.array(order[r]))))
 
     def told(doc, other, lo, hi, key, more) -> pa.RecordBatch:
         n = len(doc)
         null = lambda kind: pa.nulls(n, kind)
         cols = [pa.array(doc, pa.int64()), null(pa.int64()) if other is None else pa.array(other, pa.int64()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
-        cols += [null(pa.int64()), null(pa.int32()), null(pa.binary())] if more is None else [pa.array(key, pa.int64()), pa.array(more[0].astype(np.int32)), pa.array(more[1], pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "other", "lo", "hi", "key", "c", "context"])
+        cols += [null(pa.int64()), null(pa.int32()), null(pa.binary()), null(pa.list_(pa.int32()))] if more is None else [pa.array(key, pa.int64()), pa.array(more[0].astype(np.int32)), pa.array(more[1], pa.binary()), more[2]]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "other", "lo", "hi", "key", "c", "context", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -353,9 +386,11 @@ def _matched(rows: DataFrame, threshold: float) -> DataFrame:
             held.append(batch)
         if held:
             yield from solve(held)
+        del held
+        release()
 
     dealt = rows.select(*names).repartition("key", "block").sortWithinPartitions("key", "block")
-    return map_arrow(dealt, run, "doc_id bigint, other bigint, lo int, hi int, key bigint, c int, context binary")
+    return map_arrow(dealt, run, "doc_id bigint, other bigint, lo int, hi int, key bigint, c int, context binary, more array<int>")
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -379,7 +414,7 @@ def _first_rows(found: DataFrame, scratch: Scratch) -> DataFrame:
         each = marked.join(found.select("doc_id", "tokens"), "doc_id").select("doc_id", "tokens", F.explode("x").alias("x")).select("doc_id", "tokens", "x.w", "x.blocks")
     else:
         each = found.select("doc_id", "tokens", F.explode("windows").alias("w")).join(small, F.col("w.key") == F.col("key"))
-    return _dealt(each.select("doc_id", "w.key", "w.c", "w.lo", "w.hi", "blocks", context))
+    return _dealt(each.select("doc_id", "w.key", "w.c", "w.lo", "w.hi", "w.more", "blocks", context))
 
 
 def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -204,3 +204,26 @@ def test_keys_in_blocks(spark, monkeypatch):
     assert {k: [v[2] for v in x] for k, x in blocks.items()} == {k: [v[2] for v in x] for k, x in whole.items()}
     size = lambda got: sum(v[3] for x in got.values() for v in x)
     assert size(blocks) >= 0.99 * size(whole)
+
+
+def test_a_phrase_repeated_many_times(spark):
+    """Texts of one repeated phrase have few different windows; all their places are reported."""
+    rng = random.Random(13)
+    rows = [(i, " ".join(text(rng, 30 + i, f"a{i}x") + ["la", "lo"] * (200 + i) + text(rng, 30, f"b{i}x"))) for i in range(6)] + [(9, " ".join(["da", "di", "do"] * 300))]
+    got = spans(spark, rows)
+    assert got == {i: [(30 + i, 430 + 3 * i, 0, 400 + 2 * i)] for i in range(6)}
+    tokens = sd.Shingler().shingles(rows[0][1])
+    parts = sd.windows(tokens, np.zeros(len(tokens), dtype=np.int64))
+    owner, root, first, last = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    key = np.concatenate([sd.hashed(tokens[p[1]], f) for f, p in enumerate(parts)])
+    one, other, of = sd.once(tokens, owner, key, root, first, last)
+    assert len(one) < 60 and len(one) + len(other) == len(root)
+    for i, j in zip(other, one[of], strict=True):
+        assert key[i] == key[j] and (tokens[first[i] : last[i] + sd.LENGTH] == tokens[first[j] : last[j] + sd.LENGTH]).all()
+
+
+def test_names_of_other_columns(spark):
+    rng = random.Random(14)
+    passage = " ".join(text(rng, 60, "p"))
+    df = spark.createDataFrame([(1, passage, 5, 5, "x"), (2, passage + " and more", 6, 6, "y"), (2, passage + " and more", 6, 6, "y")], "doc_id int, text string, lo int, KEY int, rep string")
+    assert sorted(tuple(r) for r in sd.repeated_passages(df).collect()) == [(1, 0, 60, 60, 1), (2, 0, 60, 60, 1)]
