@@ -11,7 +11,9 @@ members of a bucket are compared with one of them (the pivot), not all with all.
 buckets whose members are in one component are done. In the others, members of all components but the largest become
 pivots in turn, more in each round, and are compared with the bucket's members in other components, except pairs that
 their sizes or the triangle inequality of the Jaccard distance rule out, or whose signatures agree in too few of all K
-coordinates for a similarity at the threshold (0.9998 of pairs at the threshold agree in enough). A pair is looked at in the
+coordinates for a similarity at the threshold (0.9998 of pairs at the threshold agree in enough), or whose sets differ too
+much by their bitmaps: each bit that one set's shingles leave and the other's do not stands for a shingle that only one
+has, so counts of such bits bound the similarity from above, with no chance in it. A pair is looked at in the
 first bucket that it shares, and a pivot leaves its bucket. So every pair that shares a bucket is either compared, or
 ruled out, or already in one component.
 """
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_texts, sized, without
@@ -42,6 +44,8 @@ PIVOTS, GROWTH = 32, 16
 #: Bits of each coordinate that are kept to count agreements; standard deviations below the mean that still count.
 BITS, SLACK = 4, 3.5
 CACHE = 200_000
+#: Bits of the bitmap of a shingle set.
+MAP = 4096
 
 _WORD = re.compile(r"\w+")
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -201,8 +205,23 @@ def signatures(docs: DataFrame, weighting: str = "set", text: str = "text") -> D
     return whole.drop(text)
 
 
+def bitmap(keys: np.ndarray) -> np.ndarray:
+    """MAP bits, in 64-bit words, of which each shingle sets one."""
+    bits = np.zeros(MAP, dtype=np.uint8)
+    bits[(mix(keys) % np.uint64(MAP)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _most_similar() -> Column:
+    """No less than the Jaccard similarity of two sets of ``lo`` and ``x_lo`` shingles, from their bitmaps."""
+    alone = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda total, n: total + n)
+    p, q = F.col("lo") - alone("map", "x_map"), F.col("x_lo") - alone("x_map", "map")  # each bounds what both have
+    both = F.least(p, q)
+    return both / (F.col("lo") + F.col("x_lo") - both)
+
+
 def shingle_sets(docs: DataFrame, weighting: str = "set", text: str = "text") -> DataFrame:
-    """``docs`` without the text, with s: its sorted shingle hashes (under "count" one entry for each occurrence)."""
+    """``docs`` without the text, with s: its sorted shingle hashes (under "count" one entry for each occurrence), and map: their bitmap."""
 
     def make():
         shingler = Shingler()
@@ -216,11 +235,13 @@ def shingle_sets(docs: DataFrame, weighting: str = "set", text: str = "text") ->
                     keys = mix(rep + (np.arange(len(rep)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64))
                 out.append(keys.view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))]
+            maps = np.concatenate([bitmap(x.view(np.uint64)) for x in out]) if out else np.zeros(0, np.int64)
+            each = np.arange(0, len(out) * (MAP // 64) + 1, MAP // 64, dtype=np.int32)
+            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))), pa.ListArray.from_arrays(pa.array(each), pa.array(maps))]
 
         return run
 
-    return map_texts(docs, [("s", "array<bigint>", pa.list_(pa.int64()))], make, text=text).drop(text)
+    return map_texts(docs, [("s", "array<bigint>", pa.list_(pa.int64())), ("map", "array<bigint>", pa.list_(pa.int64()))], make, text=text).drop(text)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighting: str = "set", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,6 +278,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighting: st
     near = members.join(compared.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "j"), ["rep", "pivot"])
     size = sets.groupBy(F.col("doc_id").alias("rep")).agg(F.min(F.size("s")).alias("lo"), F.max(F.size("s")).alias("hi"), (F.count("*") > 1).alias("many"))
     marks = sigs.where("n > 0").groupBy(F.col("doc_id").alias("rep")).agg(F.flatten(F.collect_list("bands")).alias("bands"), F.first("planes").alias("planes"))
+    maps = sets.groupBy(F.col("doc_id").alias("rep")).agg(F.first("map").alias("map"))
     left = near.select("bucket", "rep", "j").join(size, "rep")
     each = PIVOTS
     while True:
@@ -265,21 +287,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighting: st
         groups = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"))
         largest = groups.groupBy("bucket").agg(F.count("*").alias("groups"), F.max(F.struct("k", "component")).alias("most")).where("groups > 1").select("bucket", F.col("most.component").alias("largest"))
         open_ = placed.join(largest, "bucket")
-        open_ = scratch.keep(open_ if "bands" in left.columns else open_.join(marks, "rep"))
+        open_ = scratch.keep(open_ if "bands" in left.columns else open_.join(marks, "rep").join(maps, "rep"))
         if open_.isEmpty():
             break
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
-        pivots = open_.where("component <> largest").withColumn("turn", turn).where(F.col("turn") <= each).drop("turn", "largest")
-        pivots = scratch.keep(pivots)
-        x, y = pivots.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("rep", "j", "lo", "hi", "many", "component", "bands", "planes")]), open_
+        # about ``each`` pivots of a bucket by a hash, so that no bucket is sorted in one task; the last ones all at once
+        small = open_.where("component <> largest").groupBy("bucket").agg(F.ceil(F.count("*") / each).alias("share"))
+        turn = F.pmod(F.xxhash64("rep", "bucket", F.lit(each)), F.col("share")) == 0
+        pivots = scratch.keep(open_.where("component <> largest").join(small, "bucket").where(turn).drop("share", "largest"))
+        x, y = pivots.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("rep", "j", "lo", "hi", "many", "component", "bands", "planes", "map")]), open_
         pairs = x.join(y, "bucket").where("component <> x_component")
         # an id with several texts has no one distance to the pivot
         pairs = pairs.where((F.col("many") | F.col("x_many") | (F.abs(F.col("j") - F.col("x_j")) <= 1 - threshold + 1e-9)) & (F.col("hi") >= threshold * F.col("x_lo")) & (F.col("x_hi") >= threshold * F.col("lo")))
         pairs = pairs.where((F.col("many") | F.col("x_many") | (_agreement("planes", "x_planes") >= least_agreement(threshold))) & (F.array_min(F.array_intersect("bands", "x_bands")) == F.col("bucket")))
+        pairs = pairs.where(F.col("many") | F.col("x_many") | (_most_similar() >= threshold - 1e-9))
         pairs = pairs.select(F.greatest("rep", "x_rep").alias("a"), F.least("rep", "x_rep").alias("b")).distinct()
         compared = _compared(pairs, sets, scratch)
         links.append(scratch.keep(compared.where(F.col("j") >= threshold).select("a", "b")))
-        left = scratch.keep(open_.join(pivots.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "j", "lo", "hi", "many", "bands", "planes"))
+        left = scratch.keep(open_.join(pivots.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "j", "lo", "hi", "many", "bands", "planes", "map"))
         each *= GROWTH
     found = components(_all([links[0], found.select(F.col("id").alias("a"), F.col("component").alias("b"))]), scratch)
     ids = sigs.select("doc_id").distinct()
