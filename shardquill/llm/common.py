@@ -25,11 +25,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """``df`` with its columns renamed by place, so that none can clash with a name of an operator, and the new name of each.
+
+    A name is matched as it is, else in any case. ``df.columns`` has the old names, in the same order.
+    """
+    names = df.columns
+
+    def of(name: str) -> str:
+        at = [i for i, c in enumerate(names) if c == name] or [i for i, c in enumerate(names) if c.lower() == name.lower()]
+        if len(at) != 1:
+            raise ValueError(f"no column, or several, are called {name}: {names}")
+        return f"_in{at[0]}"
+
+    return df.toDF(*[f"_in{i}" for i in range(len(names))]), of
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one set here where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; in local mode one made here where it is unset."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.conf.get("spark.shardquill.scratch", None)
+    if not where and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not where:
         where = tempfile.mkdtemp(prefix="shardquill-")
         spark.conf.set("spark.shardquill.scratch", where)
@@ -97,13 +115,17 @@ def map_texts(df: DataFrame, new: list[tuple[str, str, pa.DataType]], make: Call
     Columns of ``df`` that carry a new column's name are replaced.
     """
     names = {n.lower() for n, _, _ in new}
-    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names or c == text])
-    at = df.columns.index(text)
+    inner, of = aside(df)
     out = [i for i, c in enumerate(df.columns) if c.lower() not in names]
-    kept = [df.columns[i] for i in out]
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [f"`{n}` {ddl}" for n, ddl, _ in new])
+    at = int(of(text)[3:])
+    if at not in out:  # it is replaced itself: read under another name
+        inner = inner.withColumn("_text", F.col(f"_in{at}"))
+    inner = inner.select(*[f"_in{i}" for i in out], *(["_text"] if at not in out else []))
+    at = inner.columns.index(f"_in{at}") if at in out else len(out)
+    schema = ", ".join([f"{c} {inner.schema[c].dataType.simpleString()}" for c in inner.columns[: len(out)]] + [f"_new{k} {ddl}" for k, (_, ddl, _) in enumerate(new)])
     types = [t for _, _, t in new]
-    header = kept + [n for n, _, _ in new]
+    header = [*inner.columns[: len(out)], *(f"_new{k}" for k in range(len(new)))]
+    final = [df.columns[i] for i in out] + [n for n, _, _ in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
@@ -112,11 +134,11 @@ def map_texts(df: DataFrame, new: list[tuple[str, str, pa.DataType]], make: Call
                 part = batch.slice(lo, hi - lo)
                 cols = fn(part.column(at).to_pylist())
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in out] + arrays, names=header)
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(out))] + arrays, names=header)
         del fn
         release()
 
-    return map_arrow(df, run, schema)
+    return map_arrow(inner, run, schema).toDF(*final)
 
 
 def release() -> None:
@@ -148,8 +170,9 @@ def sized(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
 
 def without(docs: DataFrame, flagged: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose key is not in ``flagged`` (a written table of one id column). Null keys stay."""
-    ids = flagged.select(F.col(key).alias("__flagged")).where(F.col("__flagged").isNotNull()).distinct()
-    return docs.join(sized(ids), docs[key] == F.col("__flagged"), "left_anti")
+    ids = flagged.select(F.col(key).alias("flagged")).where(F.col("flagged").isNotNull()).distinct()
+    inner, of = aside(docs)
+    return inner.join(sized(ids), F.col(of(key)) == F.col("flagged"), "left_anti").toDF(*docs.columns)
 
 
 def fold(column, folds: int):

@@ -2,27 +2,31 @@
 
 A word known in any language scores by its log relative frequency in each (a penalty where it is unknown). An unknown
 word scores by the mean over its longest known n-grams: those of five characters, else of four, and so on. A document's
-score for a language is the sum over all its words.
+score for a language is the sum over all its words. The model has every word and n-gram of its sample, by 64 bits of
+their hash, each with the languages that have it; so its size is that of the sample, whatever the number of languages.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, map_texts
+from .common import map_arrow, map_texts, release, sized
 
-#: Documents of each language that the model is fitted on; languages, words of each and n-grams of each length of each.
-SAMPLE, LANGUAGES, WORDS, GRAMS = 8_000, 500, 20_000, 8_000
+#: Documents of each language that the model is fitted on.
+SAMPLE = 8_000
 LONGEST = 5
-#: Words kept in a worker's cache.
-CACHE = 200_000
+#: Languages that may be broadcast with their shares.
+LANGUAGES = 100_000
+#: Words kept in a worker's cache, and numbers in all for them (one a language).
+CACHE, NUMBERS = 200_000, 8_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -36,35 +40,54 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+def hash_of(item: str) -> int:
+    return xxhash.xxh3_64_intdigest(item)
+
+
 class Model:
-    """For words (0) and n-grams of each length: the row of a string in a matrix of log frequencies by language."""
-
-    def __init__(self, rows: list[tuple[str, int, str, int]]):
-        self.langs = sorted({r[0] for r in rows})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        self.rows: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        for _, n, item, _ in rows:
-            self.rows[n].setdefault(item, len(self.rows[n]))
-        self.logs = []
-        for n, index in enumerate(self.rows):
-            counts = np.zeros((len(index), len(self.langs)), dtype=np.float32)
-            for lang, length, item, count in rows:
-                if length == n:
-                    counts[index[item], at[lang]] = count
-            self.logs.append(np.log(np.maximum(counts, 0.1) / (1 + counts.sum(axis=0, dtype=np.float64))).astype(np.float32))
+    """For words (0) and n-grams of each length: sorted hashes, and the log frequencies in those languages that have them."""
+
+    def __init__(self, lang: Sequence[str], n: np.ndarray, item: np.ndarray, count: np.ndarray):
+        """From one entry for each language, length and item (a hash)."""
+        self.langs = sorted(set(lang))
+        at = {x: i for i, x in enumerate(self.langs)}
+        column = np.array([at[x] for x in lang], dtype=np.int32)
+        self.items, self.starts, self.columns, self.logs, self.rest = [], [], [], [], []
+        for length in range(LONGEST + 1):
+            own = np.flatnonzero(n == length)
+            own = own[np.argsort(item[own], kind="stable")]
+            items, first = np.unique(item[own], return_index=True)
+            total = 1 + np.bincount(column[own], weights=count[own], minlength=len(self.langs))
+            self.items.append(items)
+            self.starts.append(np.append(first, len(own)))
+            self.columns.append(column[own])
+            self.logs.append(np.log(count[own] / total[column[own]]).astype(np.float32))
+            self.rest.append(np.log(0.1 / total).astype(np.float32))
+
+    def find(self, length: int, item: str) -> np.ndarray | None:
+        """Its log frequency in each language, with a penalty where it is unknown; None if no language has it."""
+        h, items = np.uint64(hash_of(item)), self.items[length]
+        i = int(items.searchsorted(h))
+        if i == len(items) or items[i] != h:
+            return None
+        lo, hi = self.starts[length][i : i + 2]
+        out = self.rest[length].copy()
+        out[self.columns[length][lo:hi]] = self.logs[length][lo:hi]
+        return out
 
     def word(self, word: str) -> np.ndarray:
-        if (known := self.rows[0].get(word)) is not None:
-            return self.logs[0][known]
+        if (known := self.find(0, word)) is not None:
+            return known
         for n in range(LONGEST, 0, -1):
-            if found := [i for g in grams_of(word, n) if (i := self.rows[n].get(g)) is not None]:
-                return self.logs[n][found].mean(axis=0)
+            if found := [x for g in grams_of(word, n) if (x := self.find(n, g)) is not None]:
+                return np.mean(found, axis=0)
         return np.zeros(len(self.langs))
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.cache = model, {}
+        self.most = max(1024, min(CACHE, NUMBERS // max(1, len(model.langs))))
         self.rows = np.zeros((1024, len(model.langs)), dtype=np.float32)
 
     def index(self, word: str) -> int:
@@ -81,7 +104,7 @@ class Scorer:
         words = words_of(text)
         if not self.model.langs or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
-        if len(self.cache) > CACHE:
+        if len(self.cache) > self.most:
             self.cache, self.rows = {}, np.zeros((1024, len(self.model.langs)), dtype=np.float32)
         get = self.cache.get
         at = [i if (i := get(w)) is not None else self.index(w) for w in words]
@@ -94,30 +117,37 @@ def fit(docs: DataFrame, learn, lang: str = "lang", text: str = "text", key: str
     """The model of the rows where ``learn`` (a boolean column) holds, from about ``SAMPLE`` documents a language.
 
     The rows of a language are sampled by a hash of their key, at the share that gives SAMPLE of them. Null languages
-    and texts teach nothing; beyond ``LANGUAGES`` languages only the commonest are learned.
+    and texts teach nothing. All languages, words and n-grams of the sample are learned.
     """
     rows = docs.where(learn & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.lit("lang"), key), F.lit(1_000_000)).alias("at"))
-    counts = docs.where(learn & F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    shares = F.broadcast(counts.select("lang", (F.lit(1_000_000.0) * SAMPLE / F.col("count")).alias("share")))
-    sample = rows.join(shares, "lang").where(F.col("at") < F.col("share")).select("lang", "text")
+    shares = rows.groupBy("lang").count().select("lang", (F.lit(1_000_000.0) * SAMPLE / F.col("count")).alias("share"))
+    sample = rows.join(sized(shares, LANGUAGES), "lang").where(F.col("at") < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang_, counted in words.items():
+                for n in range(LONGEST + 1):
+                    found: Counter = Counter()
+                    for w, c in counted.items():
+                        for item in grams_of(w, n) if n else (w,):
+                            found[item] += c
+                    hashes = np.array([hash_of(x) for x in found], dtype=np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(found), pa.string()), pa.array([n] * len(found), pa.int32()), pa.array(hashes), pa.array(list(found.values()), pa.int64())], names=["lang", "n", "item", "count"])
+            words.clear()
+
         for batch in batches:
             for lang_, text_ in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words.setdefault(lang_, Counter()).update(words_of(text_.as_py()))
-        for lang_, counted in words.items():
-            for n in range(LONGEST + 1):
-                found: Counter = Counter()
-                for w, c in counted.items():
-                    for item in grams_of(w, n) if n else (w,):
-                        found[item] += c
-                yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(found)), pa.array([n] * len(found), pa.int32()), pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["lang", "n", "item", "count"])
-
-    found = map_arrow(sample, count, "lang string, n int, item string, count bigint").groupBy("lang", "n", "item").agg(F.sum("count").alias("count")).where("count > 1")
-    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "item")))
-    kept = ranked.where((F.col("n") == 0) & (F.col("r") <= WORDS) | (F.col("n") > 0) & (F.col("r") <= GRAMS))
-    return Model([tuple(r) for r in kept.select("lang", "n", "item", "count").collect()])
+            if sum(map(len, words.values())) > CACHE:
+                yield from told()
+        yield from told()
+        release()
+
+    found = map_arrow(sample, count, "lang string, n int, item bigint, count bigint").groupBy("lang", "n", "item").agg(F.sum("count").alias("count")).toArrow()
+    cols = {c: found.column(c).combine_chunks() for c in found.column_names}
+    return Model(cols["lang"].to_pylist(), cols["n"].to_numpy(), cols["item"].to_numpy().view(np.uint64), cols["count"].to_numpy())
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

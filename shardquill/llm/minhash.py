@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, sized, without
+from .common import Scratch, aside, map_texts, sized, without
 from .graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -332,11 +332,13 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD, weighting: str = "set",
     Rows with a null id stay. Of several rows with one id one stays.
     """
     scratch = Scratch(docs.sparkSession)
-    gone = scratch.keep(near_duplicates(docs, threshold, weighting, key, text).where("not kept").select(F.col("doc_id").alias(key)))
-    repeated = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    inner, of = aside(docs)
+    key, text = of(key), of(text)
+    gone = scratch.keep(near_duplicates(inner, threshold, weighting, key, text).where("not kept").select(F.col("doc_id").alias(key)))
+    repeated = inner.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
     repeated = scratch.keep(repeated)
-    left = without(docs, gone, key)
-    if repeated.isEmpty():
-        return left
-    again = left.join(sized(repeated), key, "left_semi").dropDuplicates([key])
-    return without(left, repeated, key).unionByName(again)
+    left = without(inner, gone, key)
+    if not repeated.isEmpty():
+        again = left.join(sized(repeated), key, "left_semi").dropDuplicates([key])
+        left = without(left, repeated, key).unionByName(again)
+    return left.toDF(*docs.columns)

@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, map_texts
 
-#: Labelled rows of each class that weights are fitted on (the first by a hash of their id); weights kept.
-SAMPLE, WEIGHTS = 10_000, 20_000
+#: Labelled rows of each class that weights are fitted on (the first by a hash of their id).
+SAMPLE = 10_000
 #: A feature needs this many toxic rows, and this log odds, to count.
 LEAST_ROWS, LEAST_ODDS = 4, 3.0
 PREFIXES = (4, 5, 6, 7, 8)
 ORDER = 4
-#: Words kept in a worker's cache, readings kept at each step of the lattice.
-CACHE, BEAM = 200_000, 48
+#: Words kept in a worker's cache.
+CACHE = 200_000
 
 #: Letters that a character may stand for.
 STANDS_FOR = {
@@ -100,7 +100,11 @@ def readings(token: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: str, model: CharModel) -> str:
-    """The cheapest reading of a token: words, with a blank between them where a gap is kept."""
+    """The cheapest reading of a token: words, with a blank between them where a gap is kept.
+
+    A state is the last three characters read; of all readings that end in one the cheapest is kept, so nothing that
+    could win is dropped, and the states are bounded by the lattice's letters, not by the token's length.
+    """
     start = "^" * (ORDER - 1)
     states: dict[str, tuple[float, tuple]] = {start: (0.0, ())}
     for options in readings(token):
@@ -115,8 +119,6 @@ def decode(token: str, model: CharModel) -> str:
                     key, total, way = context[1:] + char, cost + price + model.cost(context, char), (path, char)
                 if key not in after or total < after[key][0]:
                     after[key] = total, way
-        if len(after) > BEAM:
-            after = dict(sorted(after.items(), key=lambda x: (x[1][0], x[0]))[:BEAM])
         states = after
     _, (_, path) = min(states.items(), key=lambda x: (x[1][0] + model.cost(x[0], "$"), x[0]))
     chars = []
@@ -266,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, text: str = "text", key: str
 
     ``labels``: one id column named ``key`` and ``toxic``; of an id with several labels the largest counts, null labels
     and ids are ignored, and equal texts count once. At most ``SAMPLE`` rows of each class are used, chosen by a hash of
-    the id. The calibration is fitted on evidence from weights of the other half of the sample. Without rows of both
+    the id, and all features of theirs that pass are kept. The calibration is fitted on evidence from weights of the other half of the sample. Without rows of both
     classes nothing is learned, and all scores are 0.
     """
     chars = fit_characters(docs, text)
@@ -288,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, text: str = "text", key: str
 
     counted = map_arrow(sample, count, "feature string, c0 bigint, t0 bigint, c1 bigint, t1 bigint").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")])
     top = counted.where((F.col("t0") + F.col("t1") >= LEAST_ROWS) & (F.col("t0") + F.col("t1") > F.col("c0") + F.col("c1")) | (F.col("feature") == ""))
-    rows = {r[0]: r[1:] for r in map(tuple, top.orderBy(F.desc(F.col("feature") == ""), F.desc(F.expr("(t0 + t1) / (c0 + c1 + 1)")), "feature").limit(WEIGHTS).collect())}
+    rows = {r[0]: r[1:] for r in map(tuple, top.collect())}
     c0, t0, c1, t1 = rows.pop("", (0, 0, 0, 0))
     if not (c0 + c1 and t0 + t1):
         return Model(chars, {}, None)

@@ -5,24 +5,25 @@ with all its subdomains is one interval of keys. Hosts and rules are both sorted
 a stack holds the nested rules whose interval is open. Among the rules on the stack, the longest whose path is a prefix
 of the url's path decides.
 
-Rules are configuration held by the driver. Up to ``MAX_RULE_BYTES`` they travel with the tasks and the urls are swept
-where they lie, batch by batch, without a shuffle. Beyond it, :func:`judge_joined` joins each url's ancestor hosts with
-a table of the rules instead.
+Rules are configuration, a list held by the driver. They travel with the tasks and urls are swept where they lie, batch
+by batch, without a shuffle. A worker holds at most ``RULE_BYTES`` of them: longer lists are cut, in canonical order,
+into parts of that size, which the urls pass one after the other, and the longest hit of all parts decides.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import aside, map_texts
 
-#: Bytes of rules that are sent to each Python worker.
-MAX_RULE_BYTES = 32 << 20
+#: Bytes of rules that a Python worker holds.
+RULE_BYTES = 32 << 20
 
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
@@ -52,11 +53,21 @@ class Rules:
             host = host.translate(_LOWER)
             by_host[key_of(host)].setdefault(path, (host + path, verdict))
         self.entries = [(key, sorted({len(p) for p in paths}, reverse=True), paths) for key, paths in sorted(by_host.items())]
+        self.keys = [e[0] for e in self.entries]
 
     def sweep(self, urls: dict[tuple[str, ...], set[str]]) -> dict[tuple[tuple[str, ...], str], tuple[str, str]]:
         """Decisions for the paths of each host key; hosts are taken in key order, with a stack of open intervals."""
-        out, stack, i = {}, [], 0
-        for key in sorted(urls):
+        keys = sorted(urls)
+        if not keys:
+            return {}
+        out: dict = {}
+        stack: list = []
+        i = bisect_left(self.keys, keys[0])
+        for n in range(len(keys[0])):  # rules before the first key whose interval it is in: those of its beginnings
+            at = bisect_left(self.keys, keys[0][:n])
+            if at < i and self.keys[at] == keys[0][:n]:
+                stack.append(self.entries[at])
+        for key in keys:
             while stack and key[: len(stack[-1][0])] != stack[-1][0]:
                 stack.pop()
             while i < len(self.entries) and self.entries[i][0] <= key:
@@ -85,49 +96,49 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     urls without ``://``, have an empty host and path and so fit no rule. Every row gets one row, repeated ones too;
     input columns called host, path, rule or verdict are replaced. An empty table gives an empty result.
     """
-    if sum(len(h) + len(p) for _, h, p in rules) > MAX_RULE_BYTES:
-        return judge_joined(pages, rules, url, default)
 
-    def make():
-        table = Rules(rules)
+    def make_of(part: list[tuple[str, str, str]]):
+        def make():
+            table = Rules(part)
 
-        def run(urls: list[str | None]) -> list[list]:
-            parts = [split_url(u) for u in urls]
-            keys = {host: key_of(host) for host in {h for h, _ in parts}}
-            hosts: dict[tuple[str, ...], set[str]] = defaultdict(set)
-            for host, path in parts:
-                hosts[keys[host]].add(path)
-            found = table.sweep(hosts)
-            hits = [found.get((keys[h], p)) for h, p in parts]
-            return [[h for h, _ in parts], [p for _, p in parts], [x and x[0] for x in hits], [x[1] if x else default for x in hits]]
+            def run(urls: list[str | None]) -> list[list]:
+                split = [split_url(u) for u in urls]
+                keys = {host: key_of(host) for host in {h for h, _ in split}}
+                hosts: dict[tuple[str, ...], set[str]] = defaultdict(set)
+                for host, path in split:
+                    hosts[keys[host]].add(path)
+                found = table.sweep(hosts)
+                hits = [found.get((keys[h], p)) for h, p in split]
+                return [[h for h, _ in split], [p for _, p in split], [x and x[0] for x in hits], [x[1] if x else default for x in hits]]
 
-        return run
+            return run
+
+        return make
 
     text = pa.string()
-    return map_texts(pages, [("host", "string", text), ("path", "string", text), ("rule", "string", text), ("verdict", "string", text)], make, text=url)
-
-
-def parts_of(pages: DataFrame, url: str) -> DataFrame:
-    """``pages`` with host and path, by built-in functions."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")).otherwise("")
-    host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
-    upper, lower = "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123)))
-    path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    return pages.withColumns({"host": F.coalesce(F.translate(host, upper, lower), F.lit("")), "path": F.coalesce(path, F.lit(""))})
-
-
-def judge_joined(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", default: str = "allow") -> DataFrame:
-    """As :func:`judge`, for rules of any size: each distinct (host, path) meets the rules of its ancestor hosts."""
-    spark = pages.sparkSession
-    named = parts_of(pages.drop("host", "path", "rule", "verdict"), url)
-    first: dict[tuple[str, str], str] = {}
-    for verdict, host, path in rules:
-        first.setdefault((host.translate(_LOWER), path), verdict)
-    held = spark.createDataFrame([(h, p, v) for (h, p), v in first.items()], "__h string, __p string, __v string")
-    labels = F.split("host", r"\.")
-    n = F.size(labels)
-    distinct = named.select("host", "path").distinct()
-    ancestors = distinct.withColumn("__h", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))))
-    hits = ancestors.join(held, "__h").where(F.col("path").startswith(F.col("__p")))
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length(F.concat("__h", "__p")).alias("n"), F.length("__h").alias("d"), F.concat("__h", "__p").alias("rule"), F.col("__v").alias("v"))).alias("__b"))
-    return named.join(best, ["host", "path"], "left").select(*[F.col(f"`{c}`") for c in named.columns], F.col("__b.rule").alias("rule"), F.coalesce("__b.v", F.lit(default)).alias("verdict"))
+    out, of = aside(pages)
+    parts = list(parts_of(rules))
+    for k, part in enumerate(parts):
+        out = map_texts(out, [("host", "string", text), ("path", "string", text), (f"rule{k}", "string", text), (f"verdict{k}", "string", text)], make_of(part), text=of(url))
+    hits = [F.struct(F.length(f"rule{k}").alias("n"), F.length(F.substring_index(f"rule{k}", "/", 1)).alias("host"), F.col(f"rule{k}").alias("rule"), F.col(f"verdict{k}").alias("verdict")) for k in range(len(parts))]
+    best = F.greatest(*[F.when(h["rule"].isNotNull(), h) for h in hits]) if len(hits) > 1 else hits[0]
+    out = out.withColumn("best", best)
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    done = out.select(*[of(c) for c in kept], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return done.toDF(*kept, "host", "path", "rule", "verdict")
+
+
+def parts_of(rules: list[tuple[str, str, str]], limit: int | None = None) -> Iterator[list[tuple[str, str, str]]]:
+    """The rules in canonical order, cut into lists of at most ``limit`` bytes; all rules of a host are in one."""
+    limit = RULE_BYTES if limit is None else limit
+    ordered = sorted(rules, key=lambda r: key_of(r[1].translate(_LOWER)))  # stable: of equal rules the first stays first
+    held: list = []
+    total, last = 0, None
+    for rule in ordered:
+        key, size = key_of(rule[1].translate(_LOWER)), len(rule[1]) + len(rule[2])
+        if held and total + size > limit and key != last:
+            yield held
+            held, total = [], 0
+        held.append(rule)
+        total, last = total + size, key
+    yield held

@@ -6,10 +6,10 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from shardquill.llm import decontamination, line_dedup
+from shardquill.llm import common, decontamination, line_dedup
 
 
-def brute_lines(rows, ratio, least_pages, least_host):
+def brute_lines(rows, ratio, least_pages):
     pages, having = Counter(), defaultdict(Counter)
     for _, host, text in rows:
         pages[host or ""] += 1
@@ -17,7 +17,7 @@ def brute_lines(rows, ratio, least_pages, least_host):
     out = []
     for i, host, text in rows:
         h = host or ""
-        drop = {x for x, n in having[h].items() if n >= least_pages and pages[h] >= least_host and n > ratio * pages[h]}
+        drop = {x for x, n in having[h].items() if n >= least_pages and n > ratio * pages[h]}
         lines = [] if text is None else text.split("\n")
         left = [x for x in lines if x.strip(" \t\r") not in drop]
         out.append((i, text if text is None or len(left) == len(lines) else "\n".join(left), len(lines), len(lines) - len(left)))
@@ -41,8 +41,30 @@ def test_lines(spark, monkeypatch):
     df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id bigint, source string, text string, n_lines int")
     for limit in (500_000, 0):
         monkeypatch.setattr(line_dedup, "BROADCAST_LINES", limit)
-        got = line_dedup.dedup_lines(df, ratio=0.1, least_pages=5, least_host=20).select("doc_id", "text", "n_lines", "n_dropped").collect()
-        assert sorted(map(tuple, got), key=repr) == brute_lines(rows, 0.1, 5, 20)
+        got = line_dedup.dedup_lines(df, ratio=0.1, least_pages=5).select("doc_id", "text", "n_lines", "n_dropped").collect()
+        assert sorted(map(tuple, got), key=repr) == brute_lines(rows, 0.1, 5)
+
+
+def test_small_hosts_lose_lines_too(spark):
+    rows = [(i, "small", f"menu\nown {i}") for i in range(9)] + [(20, "tiny", "menu\nown"), (21, "tiny", "menu\nmore")]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = line_dedup.dedup_lines(df).select("doc_id", "text", "n_lines", "n_dropped").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_lines(rows, line_dedup.RATIO, line_dedup.LEAST_PAGES)
+    assert {r.doc_id: r.n_dropped for r in got} == {**dict.fromkeys(range(9), 1), 20: 0, 21: 0}
+
+
+def test_clashing_columns(spark):
+    """Names of results and of helper columns, in any case, come back as they were, or are replaced."""
+    rows = [(i, "site", f"menu\nown {i}", 1, 2, 3, 4, 5, 6) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string, N_Lines int, __key int, key int, Drop int, __host int, flagged int")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == ["doc_id", "source", "text", "__key", "key", "Drop", "__host", "flagged", "n_lines", "n_dropped"]
+    assert sorted(map(tuple, out.collect())) == [(i, "site", f"own {i}", 2, 3, 4, 5, 6, 2, 1) for i in range(40)]
+    left = common.without(df, spark.createDataFrame([(3,), (None,)], "doc_id bigint"))
+    assert left.columns == df.columns and left.count() == 39 and left.dtypes == df.dtypes
+    items = spark.createDataFrame([(1, "a b c d e f")], "ITEM_ID bigint, Text string")
+    docs = spark.createDataFrame([(5, "x a b c d e f", 1, 2, 3)], "DOC_ID bigint, TEXT string, h int, q int, item_id int")
+    assert decontamination.contaminated(docs, items).select("doc_id", "item_id").collect() == [(5, 1)]
 
 
 def test_no_lines(spark):

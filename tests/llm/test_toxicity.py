@@ -1,3 +1,4 @@
+import math
 import random
 from itertools import product
 
@@ -88,6 +89,16 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted == r.toxic for r in got) >= 0.93 * len(got)
 
 
+def test_held_out_recall_and_precision(spark):
+    """Most texts are clean, so agreement alone says little; sf0.1 has enough toxic ones to tell."""
+    from shardquill.llm.queries import op2_toxicity
+
+    sf = "/root/testdata/sf0.1"
+    got = op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("predicted", "toxic").collect()
+    hit, said, true = (sum(f(r) for r in got) for f in (lambda r: r.predicted and r.toxic, lambda r: r.predicted, lambda r: r.toxic))
+    assert true > 50 and hit >= 0.9 * true and hit >= 0.9 * said
+
+
 def test_character_model_has_no_cap(spark):
     """160,000 words of four letters of their own: more n-grams than were once kept."""
     words = ["".join(chr(0x4E00 + (i // 400**k) % 400) for k in range(2)) + "ab" for i in range(160_000)]
@@ -101,3 +112,46 @@ def test_marks_that_are_letters_and_single_doubled_letters():
     assert toxicity.Restorer(chars).words("!diot") == ("idiot",)
     scorer = toxicity.Scorer(toxicity.Model(chars, {"asshole$": 5.0}, None))
     assert scorer.weight("asshhole") == 5.0 and scorer.weight("garden") == 0.0
+
+
+def test_weights_and_scores_against_brute_force(spark):
+    """Features' log odds counted over whole texts, and the score from the largest and the summed weight."""
+    docs, labels = corpus(200, seed=9)
+    d, lab = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.fit(d, lab, lab["doc_id"] >= 0)
+    text, toxic = dict(docs), dict(labels)
+    texts = {t: toxic[i] for i, t in text.items()}
+    seen = {t: set().union(*(toxicity.features(w) for w in t.split())) for t in texts}
+    n = [sum(v == k for v in texts.values()) for k in (0, 1)]
+    odds = {}
+    for f in set().union(*seen.values()):
+        c, t = (sum(f in seen[x] and v == k for x, v in texts.items()) for k in (0, 1))
+        value = math.log((t + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1))
+        if t >= toxicity.LEAST_ROWS and t > c and value >= toxicity.LEAST_ODDS:
+            odds[f] = value
+    assert model.weights == pytest.approx(odds) and odds
+    a, b, c = model.logistic
+    for r in toxicity.score(d, model).collect():
+        found = {w: x for w in set(r.text.split()) if (x := max(odds.get(f, 0.0) for f in toxicity.features(w)))}
+        most, total = (max(found.values()), math.log1p(sum(found.values()))) if found else (0.0, 0.0)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(a + b * most + c * total))))
+
+
+def test_viterbi_keeps_more_states_than_any_beam():
+    """A token of digits that may each be a letter or nothing has hundreds of states; the cheapest reading is still found."""
+    chars = toxicity.CharModel(grams({"bigbigsize": 30, "gigabits": 30}))
+    token = "6166161s12e"
+    cost = {}
+    for choice in product(*toxicity.readings(token)):
+        word = "".join(c for c, _ in choice)
+        cost[word] = min(cost.get(word, math.inf), _cost(choice, chars))
+    assert len({("^^^" + w)[-3:] for w in cost}) > 48
+    assert cost[toxicity.decode(token, chars)] == pytest.approx(min(cost.values()))
+
+
+def _cost(choice, chars):
+    context, cost = "^^^", 0.0
+    for c, price in choice:
+        cost += price + (chars.cost(context, c) if c else 0)
+        context = context[1:] + c if c else context
+    return cost + chars.cost(context, "$")

@@ -21,13 +21,17 @@ def random_url(rng):
     return rng.choice(["http://", "https://", "", "://"]) + host + rng.choice(["", "/", "/en/x", "/en", "/de/", "/fr/?a=/en/", "#t", "?q=://net/"])
 
 
-@pytest.mark.parametrize("path", [url_filters.judge, url_filters.judge_joined])
-def test_against_brute_force(spark, path):
+@pytest.mark.parametrize("limit", [32 << 20, 40, 1])
+def test_against_brute_force(spark, monkeypatch, limit):
+    """In one part, and with rules cut into parts that urls pass one after the other."""
+    monkeypatch.setattr(url_filters, "RULE_BYTES", limit)
     rng = random.Random(0)
     urls = [random_url(rng) for _ in range(600)] + [None, "", "x", "http://", "http://NET", "http://net/", "http://a.net./", "ftp://net/en/\nz", "http://ÄB.net/"]
     rules = URL_RULES + [("block", "a.example.net", "/"), ("allow", "b.a", ""), ("block", "net", "/en/x"), ("allow", "net", "/")]
-    df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)] + [(0, urls[0], "old")], "page_id bigint, url string, host string")
-    got = path(df, rules).collect()
+    df = spark.createDataFrame([(i, u, "old", 1) for i, u in enumerate(urls)] + [(0, urls[0], "old", 1)], "page_id bigint, url string, HOST string, rule0 int")
+    out = url_filters.judge(df, rules)
+    assert out.columns == ["page_id", "url", "rule0", "host", "path", "rule", "verdict"]
+    got = out.collect()
     assert len(got) == len(urls) + 1
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == brute(urls[r.page_id], rules), urls[r.page_id]
@@ -35,10 +39,14 @@ def test_against_brute_force(spark, path):
 
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id bigint, url string")
-    assert url_filters.judge(df, URL_RULES).count() == 0 and url_filters.judge_joined(df, URL_RULES).count() == 0
+    assert url_filters.judge(df, URL_RULES).count() == 0
+    one = spark.createDataFrame([(1, "http://a/")], df.schema)
+    assert [tuple(r) for r in url_filters.judge(one, []).collect()] == [(1, "http://a/", "a", "/", None, "allow")]
 
 
-def test_many_rules_take_the_joined_path(spark, monkeypatch):
-    monkeypatch.setattr(url_filters, "MAX_RULE_BYTES", 10)
-    df = spark.createDataFrame([(1, "http://x.net/a")], "page_id bigint, url string")
-    assert url_filters.judge(df, URL_RULES).select("rule", "verdict").collect() == [("net/", "block")]
+def test_parts_hold_all_rules_and_no_host_twice():
+    rules = [("block", f"h{i % 7}.net", f"/{i}") for i in range(50)]
+    parts = list(url_filters.parts_of(rules, 60))
+    assert len(parts) > 3 and sorted(r for p in parts for r in p) == sorted(rules)
+    hosts = [{h for _, h, _ in p} for p in parts]
+    assert sum(map(len, hosts)) == len(set().union(*hosts))
