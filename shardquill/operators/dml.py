@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,22 +30,39 @@ def dedup_hash(mail: Column, url: Column, comment: Column) -> Column:
 def dedup_window(rows: DataFrame, by: list[str], time: str, seconds: float, order: str) -> DataFrame:
     """Rows that are accepted in order of time: a row within ``seconds`` of the last accepted one of its group is not.
 
-    Compared with the last accepted row, not the last row, which no window function expresses; the fold runs over a
-    group's sorted (time, order) pairs alone. Rows without a time are accepted and block nothing.
+    Compared with the last accepted row, not the last row, which no window function expresses; rows are dealt by group,
+    sorted by (time, order) and streamed once, and a task keeps one time between batches, however large a group is. Rows
+    without a time are accepted and block nothing. Nulls of ``by`` are equal; ``order`` may repeat, in a group or across.
     """
     at = F.col(time).cast("timestamp_ntz") if dict(rows.dtypes)[time] == "timestamp_ntz" else moment(F.col(time).cast("string"))
-    micros = F.unix_micros(at.cast("timestamp"))
-    keyed = rows.withColumn("__at", micros)
-    pairs = F.array_sort(F.collect_list(F.when(F.col("__at").isNotNull(), F.struct(F.col("__at").alias("t"), F.col(order).alias("o")))))
-    first = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast(f"array<{dict(rows.dtypes)[order]}>").alias("kept"))
-
-    def step(acc, x):
-        ok = acc["last"].isNull() | (x["t"] - acc["last"] > int(seconds * 1_000_000))
-        return F.struct(F.when(ok, x["t"]).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["kept"], F.array(x["o"]))).otherwise(acc["kept"]).alias("kept"))
-
-    kept = keyed.groupBy(*by).agg(F.aggregate(pairs, first, step)["kept"].alias("__kept")).select(F.explode("__kept").alias(order))
-    timed = keyed.where("__at is not null").join(kept, order, "left_semi")
-    return timed.unionByName(keyed.where("__at is null")).drop("__at")
+    group = F.struct(*[x for c in by for x in (F.col(c).isNull(), F.col(c))])
+    marked = rows.withColumns({"__a": F.xxhash64(group), "__b": F.xxhash64(F.lit("group"), group), "__at": F.unix_micros(at.cast("timestamp"))})
+    dealt = marked.repartition("__a", "__b").sortWithinPartitions("__a", "__b", "__at", order)
+    names, apart = marked.columns, int(seconds * 1_000_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            a, b, times = (batch.column(names.index(c)) for c in ("__a", "__b", "__at"))
+            a, b, timed = a.to_numpy(), b.to_numpy(), times.is_valid().to_numpy(zero_copy_only=False)
+            times = times.fill_null(0).to_numpy()
+            keep = ~timed
+            cuts = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1).tolist(), len(a)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if group != (a[lo], b[lo]):
+                    group, last = (a[lo], b[lo]), None
+                i = lo + int((~timed[lo:hi]).sum())  # nulls are first
+                while i < hi:
+                    if last is not None and times[i] - last <= apart:
+                        i += int(np.searchsorted(times[i:hi], last + apart, side="right"))
+                        continue
+                    keep[i], last = True, int(times[i])
+                    i += 1
+            yield batch.filter(pa.array(keep)).select(names[:-3])
+
+    return dealt.mapInArrow(run, rows.schema)
 
 
 def add(table: DataFrame, new: DataFrame, spec: TableSpec, ids: Column | None = None, now: dt.datetime | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import number
+from ..functions.values import moment, number
 from ..plans.spec import TableSpec
 
 
@@ -42,3 +42,25 @@ def merge_counters(remote: DataFrame, changes: DataFrame, spec: TableSpec, field
         text = F.when(total == F.floor(total), total.cast("bigint").cast("string")).otherwise(total.cast("string"))
         out = out.join(mine, key, "left").withColumn(field, F.when(F.col("__d").isNull(), F.col(field)).otherwise(text.cast(kind))).drop("__d")
     return out
+
+
+def merge_rows(local: DataFrame, remote: DataFrame, changes: DataFrame, key: str = "objectId") -> DataFrame:
+    """Whole rows of counters: what is a number remotely becomes that number and the sum of local changes to it; all else
+    stays local; updatedAt is the newer one. Rows of one side only stay as they are."""
+    columns = list(dict.fromkeys([*local.columns, *remote.columns]))
+    named = lambda df, n: df.select(F.col(key), F.struct(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast("string").alias(c) for c in columns]).alias(n))
+    sums = deltas(changes, key).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "delta"))).alias("d"))  # an entry a column
+    joined = named(local, "l").join(named(remote, "r"), key, "full_outer").join(sums, key, "left")
+    out = []
+    for c in columns:
+        mine, theirs = F.col(f"l.`{c}`"), F.col(f"r.`{c}`")
+        total = number(theirs) + F.coalesce(F.try_element_at("d", F.lit(c)).cast("double"), F.lit(0.0))
+        text = F.when(total == F.floor(total), total.cast("bigint").cast("string")).otherwise(total.cast("string"))
+        both = F.when(number(theirs).isNotNull(), text).otherwise(mine)
+        if c == "updatedAt":
+            a, b = F.coalesce(theirs, F.lit("")), F.coalesce(mine, F.lit(""))
+            newer = F.coalesce(moment(a) > moment(b), a > b)
+            both = F.when((a != "") & ((b == "") | newer), a).otherwise(mine)
+        value = F.when(F.col("l").isNull(), theirs).when(F.col("r").isNull(), mine).otherwise(both)
+        out.append((F.col(key).cast("string") if c == key else value).alias(c))
+    return joined.select(*out)

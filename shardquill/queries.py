@@ -18,7 +18,7 @@ from .functions.values import ISO, content_sha
 from .operators import dml, layout, manifest, merge
 from .plans import query, shapes
 from .plans.predicates import families
-from .plans.spec import TABLES, TableSpec
+from .plans.spec import TABLES, StoreConfig, TableSpec
 from .sources import csvio
 from .sources.store import Store
 
@@ -97,7 +97,6 @@ def _where(name: str, where: dict | None, sql: str) -> None:
 
 _where("full_scan", None, "true")
 _where("filter_eq", {"status": "click"}, "status = 'click'")
-_where("filter_eq_ts", {"insertedAt": dt.datetime(2024, 1, 1, tzinfo=dt.UTC)}, """"insertedAt" = '2024-01-01T00:00:00.000Z'""")
 _where("filter_empty", {"sticky": None}, "coalesce(sticky, '') = ''")
 _where("filter_in", {"status": ["in", ["click", "error"]]}, "status IN ('click', 'error')")
 _where("filter_in_empty", {"sticky": ["IN", ["1", None]]}, "coalesce(sticky, '') IN ('1', '')")
@@ -108,7 +107,6 @@ _where("like_contains", {"url": ["LIKE", "%/u/1%"]}, "contains(url, '/u/1')")
 _where("like_prefix", {"url": ["LIKE", "/u/2%"]}, "starts_with(url, '/u/2')")
 _where("like_suffix", {"url": ["LIKE", "%3"]}, "ends_with(url, '3')")
 _where("like_exact", {"url": ["LIKE", "/u/8"]}, "url = '/u/8'")
-_where("like_literal", {"comment": ["LIKE", "%_%:%"]}, "contains(comment, '_%:')")
 _where("filter_gt_ts", {"insertedAt": [">", SINCE]}, f"{_AT} > {_SINCE}")
 _where("filter_gt_lex", {"objectId": [">", 5]}, "\"objectId\" > '5'")
 _where("filter_and", {"status": "view", "url": ["LIKE", "%1"], "sticky": None}, "status = 'view' AND ends_with(url, '1') AND coalesce(sticky, '') = ''")
@@ -117,6 +115,32 @@ _where("filter_complex_and", {"status": "click", "_complex": {"sticky": ["!=", "
 _where("get_by_id", {"objectId": "42"}, "\"objectId\" = '42'")
 
 
+@_register("filter_eq_ts", f"""WITH {COMMENTS} SELECT {_S} FROM comments WHERE "insertedAt" = (SELECT min("insertedAt") FROM comments)""")
+def _filter_eq_ts(spark, sf):
+    rows = comments(spark, sf)
+    first = rows.agg(F.min(F.to_timestamp("insertedAt")).cast("string")).collect()[0][0]  # one value: the time that is asked for
+    return query.select(rows, {"insertedAt": dt.datetime.fromisoformat(first).replace(tzinfo=dt.UTC)}).select(*_C)
+
+
+_PATTERNED = "WHEN CAST(\"objectId\" AS BIGINT) % 4 = 0 THEN comment || '_%:x' WHEN CAST(\"objectId\" AS BIGINT) % 4 = 1 THEN comment || 'ab:x'"
+
+
+@_register("like_literal", f"WITH {COMMENTS}, c AS (SELECT \"objectId\", CASE {_PATTERNED} ELSE comment END AS comment FROM comments) SELECT * FROM c WHERE contains(comment, '_%:')")
+def _like_literal(spark, sf):
+    n = F.col("objectId").cast("bigint") % 4
+    rows = comments(spark, sf).select("objectId", F.when(n == 0, F.concat("comment", F.lit("_%:x"))).when(n == 1, F.concat("comment", F.lit("ab:x"))).otherwise(F.col("comment")).alias("comment"))
+    return query.select(rows, {"comment": ["LIKE", "%_%:%"]}).select("objectId", "comment")
+
+
+@_register("filter_gt_ts_text", f"""WITH {COMMENTS}, c AS (SELECT "objectId", CASE WHEN CAST("objectId" AS BIGINT) % 4 = 0 THEN 'zzz' WHEN CAST("objectId" AS BIGINT) % 4 = 1 THEN '1 is no time' ELSE "insertedAt" END AS "insertedAt" FROM comments)
+SELECT * FROM c WHERE CASE WHEN "insertedAt" = 'zzz' THEN true WHEN "insertedAt" = '1 is no time' THEN false ELSE {_AT} > {_SINCE} END""")
+def _filter_gt_ts_text(spark, sf):
+    """What is no time is compared with the time's text."""
+    n = F.col("objectId").cast("bigint") % 4
+    rows = comments(spark, sf).select("objectId", F.when(n == 0, "zzz").when(n == 1, "1 is no time").otherwise(F.col("insertedAt")).alias("insertedAt"))
+    return query.select(rows, {"insertedAt": [">", SINCE]}).select("objectId", "insertedAt")
+
+
 @_register("project", f"WITH {COMMENTS} SELECT status, url, \"objectId\" FROM comments")
 def _project(spark, sf):
     return query.select(comments(spark, sf), field=["status", "url", "nowhere"])
@@ -253,9 +277,13 @@ def _user_family(spark, sf):
 
 @_register("family_scan", f"WITH {COMMENTS} SELECT {_S} FROM comments WHERE url IN ('/u/3', '/u/4')")
 def _family_scan(spark, sf):
+    """From a store of all comments, whose other families' folders are not read."""
     where = {"url": ["IN", ["/u/3", "/u/4"]]}
-    rows = layout.with_family(comments(spark, sf), TABLES["Comment"])
-    return query.select(rows.where(F.col("family").isin(sorted(families(TABLES["Comment"], where)))), where).select(*_C)
+    store = Store(spark, _tmp(spark), StoreConfig(shard_hash_len=1), clock=lambda: NOW)
+    store.add("Comment", comments(spark, sf).withColumn("pid", F.col("objectId")), dedup=False)
+    assert set(families(TABLES["Comment"], where, 1)) >= {layout.parse_shard_path(p)[1] for p in store.shards("Comment", where)}
+    found = store.select("Comment", where).withColumn("objectId", F.col("pid"))
+    return found.select(*[F.when(F.col("objectId").cast("bigint") % 7 == 1, F.lit(None)).otherwise(F.col("sticky")).alias(c) if c == "sticky" else F.col(c) for c in _C])
 
 
 _SPLIT = f"SELECT *, CAST(floor((row_number() OVER (PARTITION BY family ORDER BY \"objectId\") - 1) / 2.0) AS INT) AS suffix FROM (SELECT *, substr(sha1(url), 1, 1) || '/' || substr(sha1(url), 1, 3) AS family FROM pages_)"
@@ -301,16 +329,25 @@ def _manifest(spark, sf):
     return manifest.entries(_pathed(spark, sf), _PAGES).orderBy("shard_path")
 
 
-@_register("merge_plan", f"WITH {PAGES} SELECT family, count(DISTINCT suffix) AS files, CAST(count(*) AS BIGINT) AS row_count FROM ({_SPLIT}) GROUP BY family HAVING count(DISTINCT suffix) > 1 AND count(*) <= 3")
+#: Shards of four rows, of which most rows are deleted afterwards, so that many families fit in one file again.
+_THINNED = f"SELECT * FROM (SELECT \"objectId\", family, CAST(floor((row_number() OVER (PARTITION BY family ORDER BY \"objectId\") - 1) / 4.0) AS INT) AS suffix FROM (SELECT *, {FAMILY} AS family FROM comments)) WHERE CAST(\"objectId\" AS BIGINT) % 20 = 0"
+
+
+def _thinned(spark, sf) -> DataFrame:
+    rows = layout.split(layout.with_family(comments(spark, sf), TABLES["Comment"]), 4)
+    return rows.where(F.col("objectId").cast("bigint") % 20 == 0).select("objectId", "family", "suffix")
+
+
+@_register("merge_plan", f"WITH {COMMENTS} SELECT family, count(DISTINCT suffix) AS files, CAST(count(*) AS BIGINT) AS row_count FROM ({_THINNED}) GROUP BY family HAVING count(DISTINCT suffix) > 1 AND count(*) <= 4")
 def _merge_plan(spark, sf):
-    counts = _split(spark, sf).groupBy("family", "suffix").agg(F.count("*").alias("row_count"))
-    return layout.merge_plan(counts, 3)
+    counts = _thinned(spark, sf).groupBy("family", "suffix").agg(F.count("*").alias("row_count"))
+    return layout.merge_plan(counts, 4)
 
 
-@_register("compact", f"WITH {PAGES}, p AS ({_SPLIT}), m AS (SELECT family FROM p GROUP BY family HAVING count(*) <= 3) SELECT \"objectId\", family, CASE WHEN family IN (SELECT family FROM m) THEN 0 ELSE suffix END AS suffix FROM p")
+@_register("compact", f"WITH {COMMENTS}, p AS ({_THINNED}), m AS (SELECT family FROM p GROUP BY family HAVING count(*) <= 4 AND count(DISTINCT suffix) > 1) SELECT \"objectId\", family, CASE WHEN family IN (SELECT family FROM m) THEN 0 ELSE suffix END AS suffix FROM p")
 def _compact(spark, sf):
-    rows = _split(spark, sf)
-    plan = layout.merge_plan(rows.groupBy("family", "suffix").agg(F.count("*").alias("row_count")), 3)
+    rows = _thinned(spark, sf)
+    plan = layout.merge_plan(rows.groupBy("family", "suffix").agg(F.count("*").alias("row_count")), 4)
     marked = rows.join(plan.select("family", F.lit(True).alias("merge")), "family", "left")
     return marked.select("objectId", "family", F.when(F.col("merge"), 0).otherwise(F.col("suffix")).alias("suffix"))
 
@@ -386,10 +423,32 @@ def _csv_roundtrip(spark, sf):
     return back.select("objectId", F.md5("text").alias("text_md5"), "lang", "source")
 
 
-@_register("dynamic_columns", "SELECT 'like' AS name, 15 AS place UNION ALL SELECT 'sticky', 16 UNION ALL SELECT 'objectId', 0")
+_CANONICAL = ", ".join(f"({i}, '{c}')" for i, c in enumerate(TABLES["Comment"].columns))
+
+
+@_register("dynamic_columns", f"""WITH c(place, name) AS (VALUES {_CANONICAL}), n AS (SELECT DISTINCT unnest(json_keys(props)) AS name FROM events UNION SELECT DISTINCT event_type FROM events UNION SELECT 'url')
+SELECT name, place FROM c UNION ALL SELECT name, CAST((SELECT count(*) FROM c) + row_number() OVER (ORDER BY name) - 1 AS INT) FROM n WHERE name NOT IN (SELECT name FROM c)""")
 def _dynamic_columns(spark, sf):
-    header = manifest.columns_of(TABLES["Comment"], ["sticky", "url", "like"])
-    return spark.createDataFrame([(c, i) for i, c in enumerate(header)], "name string, place int").where("name in ('like', 'sticky', 'objectId')")
+    """A header of rows whose further columns are those that the data names: its JSON keys and types."""
+    e = _table(spark, sf, "events")
+    named = e.select(F.explode(F.json_object_keys("props")).alias("name")).union(e.select("event_type")).distinct()
+    header = manifest.columns_of(TABLES["Comment"], [r[0] for r in named.collect()] + ["url"])  # names of columns: a few
+    return spark.createDataFrame([(c, i) for i, c in enumerate(header)], "name string, place int")
+
+
+@_register("shard_order", f"WITH {PAGES}, p AS (SELECT DISTINCT shard_path, family, suffix FROM ({_PATHS})) SELECT shard_path, CAST(row_number() OVER (ORDER BY family, suffix) - 1 AS INT) AS place FROM p")
+def _shard_order(spark, sf):
+    """Paths as a listing sorts them: a family's base file first, then its numbered ones by number."""
+    paths = sorted((r[0] for r in _pathed(spark, sf).select("shard_path").distinct().collect()), key=layout.shard_order)  # a store's listing, held by the driver
+    return spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "shard_path string, place int")
+
+
+@_register("manifest_codec", f"WITH {PAGES} {_MANIFEST}")
+def _manifest_codec(spark, sf):
+    """A manifest written as text and read back."""
+    held = [r.asDict() for r in manifest.entries(_pathed(spark, sf), _PAGES).collect()]
+    back = csvio.decode_manifest(csvio.encode_manifest(held))
+    return spark.createDataFrame([(p, e["row_count"], e["min_key"], e["max_key"]) for p, e in back.items()], "shard_path string, row_count bigint, min_key string, max_key string")
 
 
 @_register("migrate", """SELECT CAST(event_id AS VARCHAR) AS "objectId", '/u/' || CAST(user_id AS VARCHAR) AS url, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS "insertedAt" FROM events WHERE event_id % 9 <> 0""")
@@ -448,6 +507,17 @@ def _dedup_window(spark, sf):
     return dml.dedup_window(_table(spark, sf, "events"), ["user_id", "event_type"], "ts", 86_400, "event_id").select("event_id", "user_id", "event_type")
 
 
+@_register("dedup_window_repeats", """WITH RECURSIVE e AS (SELECT event_id % 5 AS id, user_id, ts, event_id FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS n FROM e),
+k AS (SELECT id, user_id, n, ts, ts AS last, true AS kept FROM o WHERE n = 1 UNION ALL
+ SELECT o.id, o.user_id, o.n, o.ts, CASE WHEN o.ts > k.last + INTERVAL 12 HOUR THEN o.ts ELSE k.last END, o.ts > k.last + INTERVAL 12 HOUR FROM k JOIN o ON o.user_id = k.user_id AND o.n = k.n + 1)
+SELECT id, user_id, ts FROM k WHERE kept""")
+def _dedup_window_repeats(spark, sf):
+    """Ids that repeat within groups and across them."""
+    rows = _table(spark, sf, "events").select((F.col("event_id") % 5).alias("id"), "user_id", "ts")
+    return dml.dedup_window(rows, ["user_id"], "ts", 43_200, "id")
+
+
 # merges
 
 
@@ -478,6 +548,25 @@ def _delta_merge(spark, sf):
     return merge.merge_counters(counter_rows(spark, sf), changes, TABLES["Counter"]).select("objectId", "time")
 
 
+@_register("delta_merge_rows", f"""WITH {COUNTERS}, d AS (SELECT 'c' || CAST(user_id AS VARCHAR) AS "objectId", CAST(sum(event_id % 3) AS BIGINT) AS d FROM events WHERE user_id % 2 = 0 GROUP BY user_id),
+u AS (SELECT c."objectId", c.time, c.url, CAST(replace(c.url, '/u/', '') AS BIGINT) AS n, coalesce(d.d, 0) AS d FROM counters c LEFT JOIN d ON c."objectId" = d."objectId")
+SELECT "objectId", CASE WHEN n % 5 = 0 THEN '1' WHEN time = '' THEN '1' ELSE CAST(CAST(time AS BIGINT) + CASE WHEN n % 7 = 0 THEN 0 ELSE d END AS VARCHAR) END AS time,
+ CASE WHEN n % 5 = 0 OR n % 7 <> 0 THEN 'local' ELSE url END AS url, CASE WHEN n % 5 = 0 OR (n % 7 <> 0 AND n % 2 = 0) THEN '2024-02-01T00:00:00.000Z' ELSE CASE WHEN n % 7 = 0 OR n % 3 = 0 THEN '2024-03-01T00:00:00.000Z' ELSE '2024-01-15T00:00:00.000Z' END END AS "updatedAt"
+FROM (SELECT * FROM u WHERE n % 5 <> 0 OR n % 7 <> 0) WHERE NOT (n % 2 = 0 AND n % 3 = 0 AND n % 5 <> 0 AND n % 7 <> 0)
+UNION ALL SELECT "objectId", CASE WHEN time = '' THEN '1' ELSE CAST(CAST(time AS BIGINT) + d AS VARCHAR) END, 'local', '2024-03-01T00:00:00.000Z' FROM u WHERE n % 2 = 0 AND n % 3 = 0 AND n % 5 <> 0 AND n % 7 <> 0""")
+def _delta_merge_rows(spark, sf):
+    """Whole rows: counters add up, other columns stay local, the newer time wins; some rows are only local, some only remote."""
+    number = F.regexp_replace("url", "/u/", "").cast("bigint")
+    base = counter_rows(spark, sf)
+    all_ = base.where((number % 5 != 0) | (number % 7 != 0))
+    local_at = F.when((number % 2 == 0) | (number % 5 == 0), "2024-02-01T00:00:00.000Z").otherwise("2024-01-01T00:00:00.000Z")
+    remote_at = F.when((number % 3 == 0) | (number % 7 == 0), "2024-03-01T00:00:00.000Z").otherwise("2024-01-15T00:00:00.000Z")
+    local = all_.where(number % 7 != 0).select("objectId", F.lit("1").alias("time"), F.lit("local").alias("url"), local_at.alias("updatedAt"))
+    remote = all_.where(number % 5 != 0).select("objectId", F.when(number % 7 == 0, F.when(F.col("time") == "", "1").otherwise(F.col("time"))).otherwise(F.col("time")).alias("time"), "url", remote_at.alias("updatedAt"))
+    changes = _table(spark, sf, "events").where("user_id % 2 = 0").select(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("objectId"), F.lit("time").alias("field"), (F.col("event_id") % 3).alias("delta"))
+    return merge.merge_rows(local, remote, changes)
+
+
 @_register("thread_pages", "SELECT conv_id, turn, role FROM conversations WHERE turn > 0 AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0 ORDER BY conv_id DESC LIMIT 20)")
 def _thread_pages(spark, sf):
     c = _table(spark, sf, "conversations")
@@ -531,6 +620,49 @@ def _rebuild(spark, sf):
     return store.select("Counter").select(*_N)
 
 
+@_register("rebuild_unlisted", _NATIONS)
+def _rebuild_unlisted(spark, sf):
+    """A shard that the manifest has lost comes back from what is stored."""
+    store = _store(spark, sf)
+    held = store.manifest("Counter")
+    for x in store.files.list("_log"):
+        store.files.remove(f"_log/{x}")
+    store.publish(-1, {"Counter": store.write_manifest("Counter", {p: e for p, e in held.items() if e["min_key"] != "/r/3"})}, "an entry is lost")
+    store.rebuild("Counter", unlisted=True)
+    return store.select("Counter").select(*_N)
+
+
+@_register("snapshot_list", "SELECT * FROM (VALUES ('2024-03-03'), ('2024-03-02')) t(date)")
+def _snapshot_list(spark, sf):
+    store = _store(spark, sf)
+    for day in ("2024-03-01", "2024-03-03", "2024-03-02"):
+        store.create_snapshot(day)
+    store.prune_snapshots(2)
+    return spark.createDataFrame([(d,) for d in store.snapshots()], "date string")
+
+
+@_register("shard_of", f"WITH n AS ({_NATIONS}) SELECT name, 'Counter/' || substr(sha1(url), 1, 2) || '/' || substr(sha1(url), 1, 4) || '.csv' AS shard_path FROM n WHERE time IN ('3', '7')")
+def _shard_of(spark, sf):
+    store = _store(spark, sf)
+    ids = store.select("Counter", {"time": ["IN", [3, 7]]}).select("name", "objectId").collect()
+    return spark.createDataFrame([(r.name, store.shard_of("Counter", r.objectId)) for r in ids], "name string, shard_path string")
+
+
+@_register("blob_by_sha", f"SELECT url, CAST(count(*) AS BIGINT) AS row_count FROM ({_NATIONS}) GROUP BY url")
+def _blob_by_sha(spark, sf):
+    """Each shard's text, found by its content address."""
+    store = _store(spark, sf)
+    texts = [csvio.decode_rows(store.blob(e["sha"])) for e in store.manifest("Counter").values()]
+    return spark.createDataFrame([(t[0]["url"], len(t)) for t in texts], "url string, row_count bigint")
+
+
+@_register("export_csv", _NATIONS)
+def _export_csv(spark, sf):
+    store, path = _store(spark, sf), _tmp(spark)
+    store.export_csv("Counter", f"{path}/out")
+    return csvio.read_groups(spark, csvio.header_groups(spark, f"{path}/out")).select(*_N)
+
+
 @_register("stats", "SELECT 'Counter' AS name, count(DISTINCT n_regionkey) AS shards, count(*) AS row_count FROM nation")
 def _stats(spark, sf):
     found = _store(spark, sf).stats()

@@ -9,9 +9,22 @@ import shutil
 from pyspark.sql import SparkSession
 
 
+#: Stores of objects have no rename that fails where the name is taken, which commits rest on.
+NO_EXCLUSIVE_RENAME = {"s3", "s3a", "s3n", "gs", "wasb", "wasbs", "oss", "cos", "cosn", "obs", "swift", "http", "https"}
+
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """``root`` with its file system's scheme, as Spark itself resolves it; a file system without exclusive rename is refused."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if out.partition(":")[0].lower() in NO_EXCLUSIVE_RENAME:
+        raise ValueError(f"{out}: commits need a file system that renames a file only if the new name is free")
+    return out
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
+        self.spark, root = spark, qualified(spark, root)
         self.local = re.sub(r"^file:/*", "/", root) if root.startswith("file:") else root if "://" not in root else None
         self.root = root.rstrip("/")
 
@@ -39,17 +52,16 @@ class Files:
                 os.unlink(aside)
             return True
         fs, path = self._fs(name)
-        try:
-            out = fs.create(path, False)
-        except Exception as error:
-            if fs.exists(path):
-                return False
-            raise error
+        _, aside = self._fs(f"{name}.{os.urandom(8).hex()}.aside")
+        out = fs.create(aside, False)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        return True
+        made = not fs.exists(path) and fs.rename(aside, path)
+        if not made:
+            fs.delete(aside, False)
+        return bool(made)
 
     def read(self, name: str) -> str | None:
         if self.local:

@@ -17,6 +17,7 @@ import time
 import uuid
 from collections import defaultdict
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +25,13 @@ from pyspark.sql import types as T
 
 from ..functions.values import iso, text_of
 from ..operators import dml
-from ..operators.layout import parse_shard_path, path_column, plan_merge, route, with_family
+from ..operators.layout import parse_shard_path, path_column, plan_merge, route, shard_path, with_family
 from ..operators.manifest import columns_of, contents, entries, with_sha
 from ..plans import query
 from ..plans.predicates import compile_where, families
 from ..plans.spec import StoreConfig, TableSpec, table_spec
 from . import csvio
-from .files import Files
+from .files import Files, qualified
 
 
 class ConflictError(Exception):
@@ -40,7 +41,7 @@ class ConflictError(Exception):
 class Store:
     def __init__(self, spark: SparkSession, root: str, config: StoreConfig | None = None, clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.UTC), sleep: Callable[[float], None] = time.sleep):
         self.spark, self.config, self.clock, self.sleep = spark, config or StoreConfig(), clock, sleep
-        self.root = f"{root.rstrip('/')}/{self.config.store_dir}"
+        self.root = qualified(spark, f"{root.rstrip('/')}/{self.config.store_dir}")
         self.files = Files(spark, self.root)
         self.counters = defaultdict(int)
         self._daily: str | None = None
@@ -89,6 +90,11 @@ class Store:
         suffix = F.regexp_extract("__file", r"family=([^/]+)/suffix=(\d+)/", 2).cast("int")
         return rows.withColumn("shard_path", path_column(spec.name, F.replace(F.url_decode(place), F.lit("~"), F.lit("/")), suffix)).drop("__file")
 
+    def shards(self, table: str, where: dict | None = None, version: int | None = None) -> list[str]:
+        """Paths of the shards that ``read`` reads."""
+        only = families(table_spec(table), where, self.config.shard_hash_len)
+        return sorted(p for p in self.manifest(table, version) if only is None or parse_shard_path(p)[1] in only)
+
     def select(self, table: str, where: dict | None = None, version: int | None = None, **options) -> DataFrame:
         return query.select(self.read(table, where, version), where, primary_key=table_spec(table).primary_key, **options)
 
@@ -123,24 +129,34 @@ class Store:
     def delete(self, table: str, where: dict | None) -> int:
         return self.begin().delete(table, where).commit()
 
-    def publish(self, base: int, manifests: dict[str, str], message: str) -> bool:
-        """Make version base + 1; False if it is there already."""
-        made = {"version": base + 1, "parent": base, "time": iso(self.clock()), "message": message, "manifests": manifests}
+    def publish(self, base: int, manifests: dict[str, str], message: str, marks: dict[str, int] | None = None) -> bool:
+        """Make version base + 1; False if it is there already. ``marks``: the last batch of each stream that it holds."""
+        made = {"version": base + 1, "parent": base, "time": iso(self.clock()), "message": message, "manifests": manifests, "marks": marks or {}}
         return self.files.create(f"_log/{base + 1:020d}.json", json.dumps(made, sort_keys=True))
 
-    def attempt(self, change: Callable[[dict], dict[str, str] | None], message: str) -> int:
-        """Apply ``change`` to the latest version until its result could be published; None from it means no change."""
+    def attempt(self, change: Callable[[dict], dict[str, str] | None], message: str, mark: tuple[str, int] | None = None) -> int:
+        """Apply ``change`` to the latest version until its result could be published; None from it means no change.
+
+        ``mark``: a stream and the number of its batch; a version that holds that batch already is not changed.
+        """
         for n in range(self.config.max_retries):
             state = self.state()
+            marks = state.get("marks", {})
+            if mark and marks.get(mark[0], -1) >= mark[1]:
+                return state["version"]
             manifests = change(state)
             if manifests is None:
                 return state["version"]
-            if self.publish(state["version"], manifests, message):
+            if n:
+                self.counters["retries"] += 1
+            marks = marks | dict([mark]) if mark else marks
+            if self.publish(state["version"], manifests, message, *([marks] if marks else [])):
                 self.counters["commits"] += 1
                 return state["version"] + 1
             self.counters["conflicts"] += 1
             self.sleep((self.config.retry_base_ms * 2**n + random.random() * 100) / 1000)
         self.counters["failures"] += 1
+        self.counters["rollbacks"] += 1
         raise ConflictError(f"{message}: lost to other writers {self.config.max_retries} times")
 
     def write_manifest(self, table: str, held: dict[str, dict]) -> str:
@@ -149,8 +165,23 @@ class Store:
         self.files.create(name, text)
         return name
 
-    def write_shards(self, spec: TableSpec, rows: DataFrame) -> dict[str, dict]:
-        """Rows (with family and suffix) as one folder of files for each shard; their manifest entries."""
+    def write_shards(self, spec: TableSpec, rows: DataFrame, known: dict[str, dict] | None = None) -> dict[str, dict]:
+        """Rows (with family and suffix) as one folder of files for each shard; their manifest entries.
+
+        The rows are computed once. A shard whose content is in ``known`` (entries by sha) is not written again.
+        """
+        rows, held = self._staged(rows)
+        try:
+            return self._write(spec, rows, known or {})
+        finally:
+            self.files.remove(held)
+
+    def _staged(self, rows: DataFrame) -> tuple[DataFrame, str]:
+        name = f"_staged/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}"), name
+
+    def _write(self, spec: TableSpec, rows: DataFrame, known: dict[str, dict]) -> dict[str, dict]:
         place = f"data/{spec.name}/{uuid.uuid4().hex}"
         names = columns_of(spec, [c for c in rows.columns if c not in ("family", "suffix", "shard_path")])
         extras = [c for c in names if c not in spec.columns]
@@ -164,8 +195,16 @@ class Store:
         out: dict[str, dict] = {}
         now = iso(self.clock())
         for i, (header, paths) in enumerate(sorted(by_header.items())):
-            mine = whole if len(by_header) == 1 else whole.join(F.broadcast(self.spark.createDataFrame([(p,) for p in paths], "shard_path string")), "shard_path", "left_semi")
+            mine = whole if len(by_header) == 1 else self._only(whole, paths)
             shas = {r.shard_path: r.sha for r in with_sha(contents(mine, spec, list(header))).select("shard_path", "sha").collect()}
+            for path in [p for p in paths if shas[p] in known]:
+                r, same = stats[path], known[shas[path]]
+                out[path] = {"row_count": r.row_count, "sha": shas[path], "updated_at": now, "min_key": r.min_key, "max_key": r.max_key, "place": same["place"], "columns": same["columns"]}
+            fresh = [p for p in paths if p not in out]
+            if not fresh:
+                continue
+            if len(fresh) < len(paths):
+                mine, paths = self._only(whole, fresh), fresh
             dealt = mine.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in header], F.replace("family", F.lit("/"), F.lit("~")).alias("family"), "suffix")
             csvio.write_csv(dealt.repartition("family", "suffix").sortWithinPartitions("family", "suffix", spec.primary_key), f"{self.root}/{place}/{i}", ["family", "suffix"])
             for path in paths:
@@ -175,6 +214,27 @@ class Store:
                 out[path] = {"row_count": r.row_count, "sha": shas[path], "updated_at": now, "min_key": r.min_key, "max_key": r.max_key, "place": folder, "columns": json.dumps(list(header))}
         return out
 
+    def _only(self, rows: DataFrame, paths: list[str]) -> DataFrame:
+        """Rows of some shards; short lists are broadcast."""
+        names = self.spark.createDataFrame([(p,) for p in paths], "shard_path string")
+        return rows.join(F.broadcast(names) if len(paths) <= 100_000 else names, "shard_path", "left_semi")
+
+    def known(self, held: dict[str, dict]) -> dict[str, dict]:
+        """Entries by content address."""
+        return {e["sha"]: e for e in held.values() if e["sha"]}
+
+    def blob(self, sha: str, version: int | None = None) -> str | None:
+        """The text of the shard with a content address, in the latest or a given version; None if there is none."""
+        state = self.state(version)
+        for table in state["manifests"]:
+            held = self._entries(state, table)
+            for path, e in held.items():
+                if e["sha"] == sha:
+                    spec = table_spec(table)
+                    found = contents(self._read(spec, held, paths={path}), spec, json.loads(e["columns"])).collect()
+                    return found[0].content if found else None
+        return None
+
     # snapshots
 
     def create_snapshot(self, date: str | None = None) -> str | None:
@@ -253,12 +313,17 @@ class Store:
         self.attempt(change, f"compact {table}")
         return result
 
-    def rebuild(self, table: str) -> dict[str, int]:
-        """Make the manifest agree with the data that is there: counts, keys and shas anew; vanished shards go."""
+    def rebuild(self, table: str, unlisted: bool = False) -> dict[str, int]:
+        """Make the manifest agree with the data that is there: counts, keys and shas anew; vanished shards go.
+
+        ``unlisted``: shards that are there, but in no version's manifest, come in too, where the manifest has no shard
+        of their path. Use it while nobody writes: a writer's shards are unlisted until they are committed.
+        """
         spec, result = table_spec(table), {"changed": 0, "removed": 0}
 
         def change(state):
-            held = self._entries(state, table)
+            listed = self._entries(state, table)
+            held = (self._unlisted(spec) if unlisted else {}) | listed
             there = {p: e for p, e in held.items() if self._exists(e["place"])}
             kept = {}
             groups = defaultdict(set)
@@ -268,39 +333,56 @@ class Store:
                 rows = self._read(spec, there, paths=paths)
                 for r in entries(rows, spec).join(with_sha(contents(rows, spec, json.loads(columns))).select("shard_path", "sha"), "shard_path").collect():
                     kept[r.shard_path] = there[r.shard_path] | {"row_count": r.row_count, "min_key": r.min_key, "max_key": r.max_key, "sha": r.sha}
-            result.update(changed=sum(kept[p]["sha"] != held[p]["sha"] or kept[p]["row_count"] != held[p]["row_count"] for p in kept), removed=len(held) - len(kept))
+            result.update(changed=sum(p not in listed or kept[p]["sha"] != held[p]["sha"] or kept[p]["row_count"] != held[p]["row_count"] for p in kept), removed=len(listed) - sum(p in kept for p in listed))
             return state["manifests"] | {table: self.write_manifest(table, kept)} if result["changed"] or result["removed"] else None
 
         self.attempt(change, f"rebuild {table}")
         return result
 
+    def _unlisted(self, spec: TableSpec) -> dict[str, dict]:
+        """Entries, still without counts, of shard folders that no version names."""
+        if spec.name not in self.files.list("data"):
+            return {}
+        versions = [self.state(int(x[:-5])) for x in self.files.list("_log") if re.fullmatch(r"\d+\.json", x)]
+        named = {e["place"] for s in versions for e in self._entries(s, spec.name).values()}
+        out: dict[str, dict] = {}
+        for columns, files in csvio.header_groups(self.spark, f"{self.root}/data/{spec.name}").items():
+            for file in files:
+                m = re.search(rf"/(data/{spec.name}/[^/]+/\d+/family=([^/]+)/suffix=(\d+))/[^/]+$", file)
+                if m and (place := unquote(m[1])) not in named and m[1] not in named:
+                    path = shard_path(spec.name, unquote(unquote(m[2])).replace("~", "/"), int(m[3]))
+                    out[path] = {"row_count": 0, "sha": None, "updated_at": iso(self.clock()), "min_key": "", "max_key": "", "place": place, "columns": json.dumps(list(columns))}
+        return out
+
     def _exists(self, place: str) -> bool:
         return any(x.endswith(".csv") for x in self.files.list(place))
 
     def reset(self, keep_snapshots: bool = True, confirm: bool = False) -> int:
-        """Drop the history: one version with the latest state, and only the data that it and kept snapshots use."""
+        """Drop the history: a new version with the latest state, all versions before it gone, and the data that only they used.
+
+        What other writers commit meanwhile stays, and so does what they are about to commit: only folders and manifests
+        that a dropped version or snapshot names, and no other, are removed.
+        """
         if not confirm:
             raise ValueError("reset drops all history; call it with confirm=True")
         state = self.state()
         if state["version"] < 0:
             return -1
         version = self.attempt(lambda s: s["manifests"], "reset")
+        numbers = lambda: sorted(int(x[:-5]) for x in self.files.list("_log") if re.fullmatch(r"\d+\.json", x))
+        used = lambda states: ({m for s in states for m in s["manifests"].values()}, {"/".join(e["place"].split("/")[:3]) for s in states for t in s["manifests"] for e in self._entries(s, t).values()})
+        old = [n for n in numbers() if n < version]
+        gone = [self.state(n) for n in old]
         if not keep_snapshots:
             for date in self.snapshots():
+                gone.append(self._snapshot(date))
                 self.files.remove(f"_snapshots/{date}.json")
-        states = [self.state(version), *(self._snapshot(d) for d in self.snapshots())]
-        manifests = {m for s in states for m in s["manifests"].values()}
-        places = {"/".join(e["place"].split("/")[:3]) for s in states for t in s["manifests"] for e in self._entries(s, t).values()}
-        for x in self.files.list("_log"):
-            if x != f"{version:020d}.json":
-                self.files.remove(f"_log/{x}")
-        for x in self.files.list("_manifests"):
-            if f"_manifests/{x}" not in manifests:
-                self.files.remove(f"_manifests/{x}")
-        for table in self.files.list("data"):
-            for x in self.files.list(f"data/{table}"):
-                if f"data/{table}/{x}" not in places:
-                    self.files.remove(f"data/{table}/{x}")
+        manifests, places = used(gone)
+        for n in old:
+            self.files.remove(f"_log/{n:020d}.json")
+        kept = used([*(self.state(n) for n in numbers()), *(self._snapshot(d) for d in self.snapshots())])
+        for x in [*(manifests - kept[0]), *(places - kept[1])]:
+            self.files.remove(x)
         return version
 
     def tree(self) -> DataFrame:
@@ -324,7 +406,12 @@ class Transaction:
     """Changes that become visible together, or not at all. They apply in the order they were staged."""
 
     def __init__(self, store: Store):
-        self.store, self.staged = store, []
+        self.store, self.staged, self.mark = store, [], None
+
+    def seen(self, stream: str, batch: int) -> bool:
+        """Whether the store holds this batch of a stream; the commit will then hold it, or change nothing if another one does by then."""
+        self.mark = stream, batch
+        return self.store.state().get("marks", {}).get(stream, -1) >= batch
 
     def add(self, table: str, rows: DataFrame | list[dict], dedup: bool | None = None) -> list[str] | DataFrame:
         """Stage new rows under new ids and return these (a DataFrame of them for a DataFrame).
@@ -346,9 +433,9 @@ class Transaction:
         if (table == "Comment" and store.config.dedup_window_seconds > 0) if dedup is None else dedup:
             rows = self._fresh(rows, spec, now)
         self.staged.append(("add", table, rows.drop("__nth"), None))
-        if not listed:
-            return rows.select(spec.primary_key)
         own = F.coalesce("__same", spec.primary_key) if "__same" in rows.columns else F.col(spec.primary_key)
+        if not listed:
+            return rows.select(own.alias(spec.primary_key))
         return [r[1] for r in sorted(rows.select(F.col("__nth").cast("int"), own).collect())]
 
     def _fresh(self, rows: DataFrame, spec: TableSpec, now: dt.datetime) -> DataFrame:
@@ -396,7 +483,7 @@ class Transaction:
                     changed = True
             return manifests if changed else None
 
-        return self.store.attempt(change, message)
+        return self.store.attempt(change, message, self.mark)
 
     def _apply(self, spec: TableSpec, held: dict[str, dict], staged: list) -> dict[str, dict] | None:
         changed = False
@@ -417,13 +504,17 @@ class Transaction:
         counts = [(parse_shard_path(p)[1], parse_shard_path(p)[2], e["row_count"]) for p, e in held.items()]
         frame = store.spark.createDataFrame(counts, "family string, suffix int, row_count bigint")
         routed = route(with_family(rows, spec, store.config.shard_hash_len), frame, store.config.shard_max_rows, spec.primary_key)
+        routed, staged = store._staged(routed)
         touched = {r[0] for r in routed.select(path_column(spec.name, F.col("family"), F.col("suffix"))).distinct().collect()}
         if not touched:
+            store.files.remove(staged)
             return None
         old = store._read(spec, held, paths=touched & set(held))
         place = old.withColumn("suffix", F.coalesce(F.nullif(F.regexp_extract("shard_path", r"-(\d+)\.csv$", 1), F.lit("")).cast("int"), F.lit(0)))
         place = place.withColumn("family", F.regexp_extract("shard_path", r"^\w+/([^/]+/[^/]+?)(?:-\d+)?\.csv$", 1)).drop("shard_path")
-        return {p: e for p, e in held.items() if p not in touched} | store.write_shards(spec, place.unionByName(routed, allowMissingColumns=True))
+        written = store.write_shards(spec, place.unionByName(routed, allowMissingColumns=True), store.known(held))
+        store.files.remove(staged)
+        return {p: e for p, e in held.items() if p not in touched} | written
 
     def _change(self, spec: TableSpec, held: dict[str, dict], kind: str, patch, where: dict | None) -> dict[str, dict] | None:
         """Shards with rows of ``where`` written anew; rows whose key changed move to their new family."""
@@ -453,7 +544,7 @@ class Transaction:
     def _rewrite(self, spec: TableSpec, held: dict[str, dict], rows: DataFrame, paths: set[str]) -> dict[str, dict]:
         own = rows.withColumn("suffix", F.coalesce(F.nullif(F.regexp_extract("shard_path", r"-(\d+)\.csv$", 1), F.lit("")).cast("int"), F.lit(0)))
         own = own.withColumn("family", F.regexp_extract("shard_path", r"^\w+/([^/]+/[^/]+?)(?:-\d+)?\.csv$", 1)).drop("shard_path")
-        return {p: e for p, e in held.items() if p not in paths} | self.store.write_shards(spec, own)
+        return {p: e for p, e in held.items() if p not in paths} | self.store.write_shards(spec, own, self.store.known(held))
 
 
 def _escaped(family: str) -> str:

@@ -140,3 +140,10 @@ def test_config():
 def test_text_of():
     pairs = [(None, ""), (3, "3"), (3.0, "3"), (0.5, "0.5"), (True, "true"), ({"a": [1]}, '{"a":[1]}'), (dt.datetime(2026, 1, 2, 3, 4, 5, 678_900), "2026-01-02T03:04:05.678Z")]
     assert [text_of(v) for v, _ in pairs] == [t for _, t in pairs]
+
+
+def test_after_a_time_falls_back_to_text(spark):
+    df = spark.createDataFrame([("1", "2026-09-25T10:00:00.000Z"), ("2", "zzz"), ("3", "1 not a time"), ("4", ""), ("5", None), ("6", "2026-09-25T08:00:00.000Z")], "objectId string, insertedAt string")
+    nine = dt.datetime(2026, 9, 25, 9, tzinfo=dt.UTC)
+    hit = compile_where(df, {"insertedAt": [">", nine]})
+    assert sorted(r.objectId for r in df.where(hit).collect()) == ["1", "2"]

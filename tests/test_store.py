@@ -3,8 +3,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from shardquill.operators.layout import parse_shard_path
-from shardquill.plans.spec import StoreConfig
+from shardquill.operators import dml, merge
+from shardquill.operators.layout import parse_shard_path, with_family
+from shardquill.plans.spec import StoreConfig, table_spec
 from shardquill.sources.store import ConflictError, Store
 
 NOW = dt.datetime(2026, 9, 25, 10, tzinfo=dt.UTC)
@@ -171,3 +172,83 @@ def test_users_and_unknown_names(spark, tmp_path):
         store.add("Posts", [{}])
     with pytest.raises(ValueError):
         store.begin().stage("upsert", "Users")
+
+
+def test_a_batch_that_comes_again_after_its_commit(spark, tmp_path):
+    """A crash between commit and checkpoint: the version itself holds the batch's number."""
+    store = make(spark, tmp_path)
+    for _ in range(2):
+        txn = store.begin()
+        seen = txn.seen("Comment from x", 0)
+        txn.add("Comment", [comment(comment="one"), comment(comment="two")], dedup=False)
+        txn.commit()  # the second time as if the check had come too early
+    assert seen and store.version() == 0 and store.count("Comment").collect()[0][0] == 2
+    txn = store.begin()
+    assert not txn.seen("Comment from x", 1) and store.add("Comment", [comment(comment="three")])
+    assert store.state()["marks"] == {"Comment from x": 0}
+
+
+def test_reset_keeps_what_others_commit_meanwhile(spark, tmp_path):
+    a, b = make(spark, tmp_path), make(spark, tmp_path)
+    a.add("Comment", [comment(comment="first")])
+    a.add("Comment", [comment(comment="second")])
+    real, once = a.attempt, []
+
+    def late(change, message, mark=None):
+        version = real(change, message, mark)
+        if message == "reset" and not once:
+            once.append(b.add("Comment", [comment(comment="meanwhile")]))
+        return version
+
+    a.attempt = late
+    a.reset(confirm=True)
+    assert sorted(r["comment"] for r in rows(make(spark, tmp_path).select("Comment"))) == ["first", "meanwhile", "second"]
+    with pytest.raises(ValueError):
+        a.state(0)
+
+
+def test_ids_of_a_frame_are_those_that_were_stored(spark, tmp_path):
+    store = make(spark, tmp_path)
+    at = "2026-09-25T10:00:00.000Z"
+    frame = spark.createDataFrame([("/a", "a@x", "same", at), ("/a", "a@x", "same", at), ("/a", "a@x", "other", at)], "url string, mail string, comment string, insertedAt string")
+    first = sorted(r[0] for r in store.add("Comment", frame).collect())
+    again = sorted(r[0] for r in store.add("Comment", frame).collect())
+    stored = {r["objectId"] for r in rows(store.select("Comment"))}
+    assert set(first) == set(again) == stored and len(stored) == 2 and len(first) == 3
+
+
+def test_unlisted_shards_and_content_addresses(spark, tmp_path):
+    store = make(spark, tmp_path)
+    store.add("Comment", [comment(url="/a"), comment(url="/b", comment="b")])
+    held = store.manifest("Comment")
+    path, entry = next((p, e) for p, e in held.items() if e["min_key"] == "/b")
+    text = store.blob(entry["sha"])
+    assert text.splitlines()[0].startswith("objectId,") and len(text.splitlines()) == 2 and store.blob("0" * 40) is None
+    same = store.write_shards(table_spec("Comment"), with_family(store.read("Comment", {"url": "/b"}), table_spec("Comment"), store.config.shard_hash_len).withColumn("suffix", F.lit(0)), store.known(held))
+    assert {p: (e["sha"], e["place"]) for p, e in same.items()} == {path: (entry["sha"], entry["place"])}
+    for x in store.files.list("_log"):
+        store.files.remove(f"_log/{x}")
+    store.publish(-1, {"Comment": store.write_manifest("Comment", {p: e for p, e in held.items() if p != path})}, "lost an entry")
+    assert store.rebuild("Comment") == {"changed": 0, "removed": 0}
+    assert store.rebuild("Comment", unlisted=True) == {"changed": 1, "removed": 0}
+    assert {p: e["sha"] for p, e in store.manifest("Comment").items()} == {p: e["sha"] for p, e in held.items()}
+
+
+def test_object_stores_are_refused(spark):
+    with pytest.raises(Exception):
+        Store(spark, "s3a://bucket/x")
+
+
+def test_dedup_window_of_repeated_order_values(spark):
+    rows_ = [("a", 1, 1), ("a", 2, 2), ("b", 2, 1), ("a", 2, 400), (None, 2, 5), (None, 3, 6), ("a", 9, None), ("b", 1, 200)]
+    df = spark.createDataFrame([(g, o, None if t is None else f"2026-01-01T00:{t // 60:02d}:{t % 60:02d}.000Z") for g, o, t in rows_], "g string, id int, at string")
+    got = sorted((r.g or "", r.id) for r in dml.dedup_window(df, ["g"], "at", 60, "id").collect())
+    assert got == sorted([("a", 1), ("b", 2), ("a", 2), ("", 2), ("a", 9), ("b", 1)])
+
+
+def test_whole_rows_of_counters_merge(spark):
+    local = spark.createDataFrame([("1", "5", "/a", "2026-01-02T00:00:00.000Z"), ("2", "1", "/b", "2026-01-01T00:00:00.000Z"), ("3", "9", "/c", "")], "objectId string, time string, url string, updatedAt string")
+    remote = spark.createDataFrame([("1", "7", "/x", "2026-01-01T00:00:00.000Z", "3"), ("2", "", "/y", "2026-01-03T00:00:00.000Z", ""), ("4", "2", "/d", "", "1")], "objectId string, time string, url string, updatedAt string, like string")
+    changes = spark.createDataFrame([("1", "time", 2), ("1", "time", 1), ("2", "time", 4)], "objectId string, field string, delta bigint")
+    got = {r.objectId: (r.time, r.url, r.updatedAt, r.like) for r in merge.merge_rows(local, remote, changes).collect()}
+    assert got == {"1": ("10", "/a", "2026-01-02T00:00:00.000Z", "3"), "2": ("1", "/b", "2026-01-03T00:00:00.000Z", None), "3": ("9", "/c", "", None), "4": ("2", "/d", "", "1")}
