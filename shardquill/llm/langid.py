@@ -64,51 +64,53 @@ class Model:
             self.logs.append(np.log(count[own] / total[column[own]]).astype(np.float32))
             self.rest.append(np.log(0.1 / total).astype(np.float32))
 
-    def find(self, length: int, item: str) -> np.ndarray | None:
-        """Its log frequency in each language, with a penalty where it is unknown; None if no language has it."""
-        h, items = np.uint64(hash_of(item)), self.items[length]
-        i = int(items.searchsorted(h))
-        if i == len(items) or items[i] != h:
-            return None
-        lo, hi = self.starts[length][i : i + 2]
-        out = self.rest[length].copy()
-        out[self.columns[length][lo:hi]] = self.logs[length][lo:hi]
+    def rows(self, words: list[str]) -> np.ndarray:
+        """For each word its log frequency in each language: of the word, else the mean over its longest known n-grams, else zeros."""
+        out = np.zeros((len(words), len(self.langs)), dtype=np.float32)
+        left = np.arange(len(words))
+        for n in (0, *range(LONGEST, 0, -1)):
+            each = [grams_of(words[i], n) if n else [words[i]] for i in left]
+            owner = np.repeat(left, [len(x) for x in each])
+            hashes = np.fromiter((hash_of(x) for part in each for x in part), dtype=np.uint64, count=len(owner))
+            items = self.items[n]
+            at = np.minimum(items.searchsorted(hashes), max(len(items) - 1, 0))
+            known = np.flatnonzero(items[at] == hashes) if len(items) else np.zeros(0, dtype=np.int64)
+            owner, at = owner[known], at[known]
+            count = np.bincount(owner, minlength=len(words))
+            found = np.flatnonzero(count)
+            out[found] = self.rest[n] * count[found, None]  # a penalty where a language does not have it
+            sizes = self.starts[n][at + 1] - self.starts[n][at]
+            entry = np.arange(sizes.sum()) + np.repeat(self.starts[n][at] - np.cumsum(sizes) + sizes, sizes)
+            column = self.columns[n][entry]
+            np.add.at(out, (np.repeat(owner, sizes), column), self.logs[n][entry] - self.rest[n][column])
+            out[found] /= count[found, None]
+            left = left[count[left] == 0]
         return out
 
     def word(self, word: str) -> np.ndarray:
-        if (known := self.find(0, word)) is not None:
-            return known
-        for n in range(LONGEST, 0, -1):
-            if found := [x for g in grams_of(word, n) if (x := self.find(n, g)) is not None]:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+        return self.rows([word])[0]
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.cache = model, {}
         self.most = max(1024, min(CACHE, NUMBERS // max(1, len(model.langs))))
-        self.rows = np.zeros((1024, len(model.langs)), dtype=np.float32)
-
-    def index(self, word: str) -> int:
-        i = self.cache.get(word)
-        if i is None:
-            i = len(self.cache)
-            if i == len(self.rows):
-                self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-            self.rows[i] = self.model.word(word)
-            self.cache[word] = i
-        return i
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
+        self.rows = np.zeros((0, len(model.langs)), dtype=np.float32)
+
+    def learn(self, words: set[str]) -> None:
+        """Look up all words that are not known yet, at once."""
+        if len(self.cache) + len(words) > self.most:
+            self.cache, self.rows = {}, self.rows[:0]
+        new = list(words.difference(self.cache))
+        if new:
+            self.rows = np.concatenate([self.rows[: len(self.cache)], self.model.rows(new)])
+            self.cache.update(zip(new, range(len(self.cache), len(self.cache) + len(new)), strict=True))
+
+    def predict(self, words: list[str]) -> tuple[str, float]:
+        """The language of a text with these words, which are all known."""
         if not self.model.langs or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
-        if len(self.cache) > self.most:
-            self.cache, self.rows = {}, np.zeros((1024, len(self.model.langs)), dtype=np.float32)
-        get = self.cache.get
-        at = [i if (i := get(w)) is not None else self.index(w) for w in words]
-        total = self.rows[at].sum(axis=0, dtype=np.float64)
+        total = self.rows[list(map(self.cache.__getitem__, words))].sum(axis=0, dtype=np.float64)
         best = int(total.argmax())
         return self.model.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
 
@@ -156,13 +158,16 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Texts that are null, empty or without a letter get ``und`` and 0; so does everything under a model without
     languages. Of equal languages the first by name wins. Texts of any length are read whole; each row gets one row.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, model_langs = docs.sparkSession.sparkContext.broadcast(model), bool(model.langs)
 
     def make():
         scorer = Scorer(held.value)
 
         def run(texts: list[str | None]) -> list[list]:
-            found = [scorer.predict(t) for t in texts]
+            words = [words_of(t) for t in texts]
+            if model_langs:
+                scorer.learn(set().union(*words))
+            found = [scorer.predict(w) for w in words]
             return [[f[0] for f in found], [f[1] for f in found]]
 
         return run
