@@ -67,3 +67,21 @@ def test_empty_and_null_id(spark):
 def test_plan(n, bits):
     b, tables = embedding_dedup.plan(n, 0.93)
     assert b == bits and (1 - (1 - np.arccos(0.93) / np.pi) ** b) ** tables <= 1 - embedding_dedup.RECALL
+
+
+def test_signs_that_may_differ():
+    for signs in (144, 588):
+        p, most = np.arccos(0.93) / np.pi, embedding_dedup.most_differing(signs, 0.93)
+        differ = np.random.default_rng(3).binomial(signs, p, 1_000_000)
+        assert (differ > most).mean() < 1e-5 and most < signs * 0.3
+    assert embedding_dedup.most_differing(144, 1.0) == 0
+
+
+def test_many_copies_of_one_vector(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "MANY", 5)
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((6, 12))
+    rows = [(i, [float(np.float32(x)) for x in vectors[0 if i < 30 else i % 6]], i % 2) for i in range(60)] + [(None, [1.0] * 12, 0)] * 2
+    have = got(spark, rows)
+    assert have.pop(None) == (0, None, True)
+    assert have == brute(rows, 0.93)
