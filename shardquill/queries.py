@@ -21,6 +21,7 @@ from .plans.predicates import families
 from .plans.spec import TABLES, StoreConfig, TableSpec
 from .sources import csvio
 from .sources.store import Store
+from .streaming.ingest import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -307,6 +308,16 @@ def _fill_first(spark, sf):
     return layout.route(rows, held, 3).select("objectId", "family", "suffix")
 
 
+@_register("hot_family", f"""WITH {COMMENTS}, f AS (SELECT "objectId", CASE WHEN CAST("objectId" AS BIGINT) % 3 = 0 THEN 'hot' ELSE url END AS family FROM comments),
+n AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY "objectId") - 1 AS n FROM f)
+SELECT "objectId", family, CAST(CASE WHEN family <> 'hot' THEN floor(n / 20.0) WHEN n < 13 THEN 0 ELSE 2 + floor((n - 13) / 20.0) END AS INT) AS suffix FROM n""")
+def _hot_family(spark, sf):
+    """A third of all rows in one family, which is numbered in parts."""
+    rows = comments(spark, sf).select("objectId", F.when(F.col("objectId").cast("bigint") % 3 == 0, "hot").otherwise(F.col("url")).alias("family"))
+    held = spark.createDataFrame([("hot", 0, 7), ("hot", 1, 20)], "family string, suffix int, row_count bigint")
+    return layout.route(rows, held, 20, sample=64)
+
+
 _PATHS = f"SELECT 'Comment/' || family || CASE WHEN suffix > 0 THEN '-' || CAST(suffix AS VARCHAR) ELSE '' END || '.csv' AS shard_path, family, suffix, \"objectId\", url FROM ({_SPLIT})"
 
 
@@ -643,6 +654,91 @@ def _snapshot_list(spark, sf):
     return spark.createDataFrame([(d,) for d in store.snapshots()], "date string")
 
 
+@_register("snapshot_import", _NATIONS)
+def _snapshot_import(spark, sf):
+    """A snapshot's list of paths and content addresses, read back under another date and restored."""
+    store = _store(spark, sf)
+    text = store.snapshot_csv(store.create_snapshot("2024-03-01"))
+    store.delete("Counter", {"url": ["IN", ["/r/2", "/r/3"]]})
+    store.prune_snapshots(1)
+    store.restore(store.import_snapshot("2024-02-01", text))
+    return store.select("Counter").select(*_N)
+
+
+@_register("commit_conflict", f"SELECT url, CAST(CAST(time AS BIGINT) + 1 + CASE WHEN url = '/r/1' THEN 1 ELSE 0 END AS VARCHAR) AS time, name FROM ({_NATIONS}) UNION ALL SELECT '/r/9', '7', 'late'")
+def _commit_conflict(spark, sf):
+    """Two writers begin at one version: the later one's changes are applied again, so both count."""
+    store = _store(spark, sf)
+    late = store.begin().update("Counter", dml.increment("time"), None)
+    late.add("Counter", [{"url": "/r/9", "time": 7, "name": "late"}])
+    rival, publish = Store(spark, store.root.rsplit("/", 1)[0], clock=lambda: NOW, sleep=lambda s: None), store.publish
+
+    def beaten(*args, **kwargs):
+        store.publish = publish
+        rival.update("Counter", dml.increment("time"), {"url": "/r/1"})
+        return publish(*args, **kwargs)
+
+    store.publish, store.sleep = beaten, lambda s: None
+    late.commit()
+    return store.select("Counter").select(*_N)
+
+
+@_register("reset_state", f"SELECT *, CAST(0 AS INT) AS older FROM ({_NATIONS}) WHERE url <> '/r/4'")
+def _reset_state(spark, sf):
+    """Versions before a reset are gone, the rows stay."""
+    store = _store(spark, sf)
+    store.delete("Counter", {"url": "/r/4"})
+    version = store.reset(confirm=True)
+    older = sum(int(x[:-5]) < version for x in store.files.list("_log"))
+    return store.select("Counter").select(*_N, F.lit(older).alias("older"))
+
+
+@_register("daily_snapshot", f"SELECT *, true AS first, false AS again FROM ({_NATIONS})")
+def _daily_snapshot(spark, sf):
+    """The day's snapshot is made once, and holds what was there."""
+    store = _store(spark, sf)
+    first, again = store.maybe_run_daily(), store.maybe_run_daily()
+    store.delete("Counter", None)
+    store.restore(store.snapshots()[0])
+    return store.select("Counter").select(*_N, F.lit(first).alias("first"), F.lit(again).alias("again"))
+
+
+@_register("generated_ids", "SELECT count(*) AS ids, CAST(0 AS BIGINT) AS odd FROM events")
+def _generated_ids(spark, sf):
+    """Ids of new rows: different, and none empty."""
+    store = Store(spark, _tmp(spark), clock=lambda: NOW)
+    ids = store.add("Comment", comments(spark, sf).drop("objectId"), dedup=False)
+    return ids.agg(F.countDistinct("objectId").alias("ids"), F.coalesce(F.sum((F.col("objectId") == "").cast("bigint")), F.lit(0)).cast("bigint").alias("odd"))
+
+
+@_register("stream_ingest", f"WITH {COMMENTS} SELECT url, status, \"insertedAt\", comment FROM comments")
+def _stream_ingest(spark, sf):
+    """Events as a stream into the store; the stream is started again when it has ended, which adds nothing."""
+    store, marks = Store(spark, _tmp(spark), clock=lambda: NOW), _tmp(spark)
+    schema = _table(spark, sf, "events").schema
+    shape = lambda e: e.select(F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("url"), F.col("event_type").alias("status"), F.date_format("ts", ISO).alias("insertedAt"), F.col("props").alias("comment"))
+    for _ in range(2):
+        ingest(spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet"), store, "Comment", f"{marks}/checkpoint", shape).awaitTermination()
+    return store.select("Comment").select("url", "status", "insertedAt", "comment")
+
+
+_MALFORMED = {"unknown operator": {"url": ["~", "x"]}, "object": {"url": {"a": 1}}, "empty list": {"url": []}, "top-level logic": {"_logic": "or", "url": "/u/8"}}
+
+
+@_register("malformed_where", f"SELECT shape, true AS raises, (SELECT count(*) FROM events) AS row_count FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in _MALFORMED)}) t(shape)")
+def _malformed_where(spark, sf):
+    """Conditions that are refused, where others would match every row."""
+    rows, out = comments(spark, sf), []
+    for shape, where in _MALFORMED.items():
+        try:
+            query.select(rows, where)
+            out.append((shape, False))
+        except ValueError:
+            out.append((shape, True))
+    n = query.count(rows, None).collect()[0][0]  # one number
+    return spark.createDataFrame([(*x, n) for x in out], "shape string, raises boolean, row_count bigint")
+
+
 @_register("shard_of", f"WITH n AS ({_NATIONS}) SELECT name, 'Counter/' || substr(sha1(url), 1, 2) || '/' || substr(sha1(url), 1, 4) || '.csv' AS shard_path FROM n WHERE time IN ('3', '7')")
 def _shard_of(spark, sf):
     store = _store(spark, sf)

@@ -29,7 +29,7 @@ from ..operators.layout import parse_shard_path, path_column, plan_merge, route,
 from ..operators.manifest import columns_of, contents, entries, with_sha
 from ..plans import query
 from ..plans.predicates import compile_where, families
-from ..plans.spec import StoreConfig, TableSpec, table_spec
+from ..plans.spec import TABLES, StoreConfig, TableSpec, table_spec
 from . import csvio
 from .files import Files, qualified
 
@@ -259,6 +259,38 @@ class Store:
         """A snapshot as the text of a ``path,sha`` file, for tools that read that form."""
         return csvio.encode_rows([{"path": p, "sha": sha} for p, sha in self.snapshot_files(date)], ["path", "sha"])
 
+    def import_snapshot(self, date: str, text: str) -> str:
+        """A ``path,sha`` text as the snapshot of a date, as :meth:`snapshot_csv` writes it; a shard is found by its content address.
+
+        Raises if no version or snapshot holds one of the shards; a snapshot of the same date is replaced.
+        """
+        _date(date)
+        wanted = [(r["path"], r["sha"]) for r in csvio.decode_rows(text)]
+        tables = {p: parse_shard_path(p) for p, _ in wanted}
+        if odd := [p for p, t in tables.items() if t is None or t[0] not in TABLES]:
+            raise ValueError(f"no shard paths: {', '.join(odd[:5])}")
+        log = sorted((int(x[:-5]) for x in self.files.list("_log") if re.fullmatch(r"\d+\.json", x)), reverse=True)
+        found: dict[tuple[str, str], dict] = {}
+        seen: set[str] = set()
+        for state in (read(x) for read, names in ((self.state, log), (self._snapshot, self.snapshots())) for x in names):
+            for table, name in state["manifests"].items():
+                if name not in seen:
+                    seen.add(name)
+                    for e in self._entries(state, table).values():
+                        found.setdefault((table, e["sha"]), e)
+            if all((tables[p][0], sha) in found for p, sha in wanted):
+                break
+        if lost := [p for p, sha in wanted if (tables[p][0], sha) not in found]:
+            raise ValueError(f"no version holds the content of {', '.join(lost[:5])}")
+        held: dict[str, dict[str, dict]] = defaultdict(dict)
+        for p, sha in wanted:
+            held[tables[p][0]][p] = found[tables[p][0], sha]
+        manifests = {t: self.write_manifest(t, entries_) for t, entries_ in held.items()}
+        made = {"version": self.version(), "parent": -1, "time": iso(self.clock()), "message": "imported", "manifests": manifests, "marks": {}}
+        self.files.remove(f"_snapshots/{_date(date)}.json")
+        self.files.create(f"_snapshots/{date}.json", json.dumps(made, sort_keys=True))
+        return date
+
     def _snapshot(self, date: str) -> dict:
         text = self.files.read(f"_snapshots/{_date(date)}.json")
         if text is None:
@@ -538,8 +570,11 @@ class Transaction:
         own = F.regexp_extract("shard_path", r"^\w+/([^/]+/[^/]+?)(?:-\d+)?\.csv$", 1)
         stay = moved.where(F.col("family") == own).drop("family")
         leave = moved.where(F.col("family") != own).drop("family", "shard_path")
+        leave, staged = store._staged(leave)
         rewritten = self._rewrite(spec, held, stay, paths)
-        return self._place(spec, rewritten, leave) or rewritten
+        placed = self._place(spec, rewritten, leave) or rewritten
+        store.files.remove(staged)
+        return placed
 
     def _rewrite(self, spec: TableSpec, held: dict[str, dict], rows: DataFrame, paths: set[str]) -> dict[str, dict]:
         own = rows.withColumn("suffix", F.coalesce(F.nullif(F.regexp_extract("shard_path", r"-(\d+)\.csv$", 1), F.lit("")).cast("int"), F.lit(0)))

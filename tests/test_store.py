@@ -252,3 +252,38 @@ def test_whole_rows_of_counters_merge(spark):
     changes = spark.createDataFrame([("1", "time", 2), ("1", "time", 1), ("2", "time", 4)], "objectId string, field string, delta bigint")
     got = {r.objectId: (r.time, r.url, r.updatedAt, r.like) for r in merge.merge_rows(local, remote, changes).collect()}
     assert got == {"1": ("10", "/a", "2026-01-02T00:00:00.000Z", "3"), "2": ("1", "/b", "2026-01-03T00:00:00.000Z", None), "3": ("9", "/c", "", None), "4": ("2", "/d", "", "1")}
+
+
+def test_numbers_of_a_hot_family_are_those_of_one_window(spark):
+    from pyspark.sql import Window
+
+    from shardquill.operators.layout import numbered
+
+    n = F.col("id")
+    ids = {"text": F.concat(F.lit("é"), F.sha1(n.cast("string"))), "number": n * 7919 % 5003, "tied": n % 3}
+    for kind, order in ids.items():
+        held = spark.range(5003).select(F.when(n % 3 == 0, "hot").when(n % 50 == 1, F.lit(None)).otherwise((n % 40).cast("string")).alias("family"), F.when(n % 997 != 5, order).alias("k"))
+        found = numbered(held, "k", sample=200)
+        assert "__part" not in found.columns and found.count() == 5003
+        want = held.withColumn("w", F.row_number().over(Window.partitionBy("family").orderBy("k")) - 1)
+        if kind == "tied":  # numbers of ties may differ, but not which there are
+            assert found.groupBy("family", "__n").count().where("count > 1").isEmpty()
+        else:
+            known = want.where("k is not null and family is not null")
+            assert known.join(found, ["family", "k"]).where("w <> __n").isEmpty()
+        assert sorted(r[0] for r in found.where("family = 'hot'").select("__n").collect()) == list(range(held.where("family = 'hot'").count()))
+
+
+def test_import_of_a_snapshot(spark, tmp_path):
+    store = make(spark, tmp_path, dedup_window_seconds=0)
+    store.add("Comment", [comment(url=f"/p{i}") for i in range(4)])
+    text = store.snapshot_csv(store.create_snapshot("2024-03-01"))
+    store.delete("Comment", {"url": ["IN", ["/p1", "/p2"]]})
+    assert store.import_snapshot("2024-02-01", text) == "2024-02-01" and store.snapshot_csv("2024-02-01") == text
+    store.restore("2024-02-01")
+    assert store.count("Comment").collect()[0][0] == 4
+    with pytest.raises(ValueError, match="no version holds"):
+        store.import_snapshot("2024-02-02", "path,sha\nComment/aa/aabb.csv,0000\n")
+    with pytest.raises(ValueError, match="no shard paths"):
+        store.import_snapshot("2024-02-02", "path,sha\nelsewhere.csv,0000\n")
+    assert store.snapshots() == ["2024-03-01", "2024-02-01"]
