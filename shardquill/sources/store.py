@@ -206,7 +206,9 @@ class Store:
             if len(fresh) < len(paths):
                 mine, paths = self._only(whole, fresh), fresh
             dealt = mine.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in header], F.replace("family", F.lit("/"), F.lit("~")).alias("family"), "suffix")
-            csvio.write_csv(dealt.repartition("family", "suffix").sortWithinPartitions("family", "suffix", spec.primary_key), f"{self.root}/{place}/{i}", ["family", "suffix"])
+            # a file costs more than its rows: tasks by the number of files, which coalescing by bytes would put in one
+            tasks = min(len(fresh), max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism))
+            csvio.write_csv(dealt.repartition(tasks, "family", "suffix").sortWithinPartitions("family", "suffix", spec.primary_key), f"{self.root}/{place}/{i}", ["family", "suffix"])
             for path in paths:
                 _, family, suffix = parse_shard_path(path)
                 r = stats[path]
